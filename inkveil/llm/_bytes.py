@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; numpy's temporaries are about 30 times as large.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -71,12 +71,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch that hold about limit bytes of the text column; a longer text is a slice of its own."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK, *more: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch that hold about limit bytes of the text columns; a longer text is a slice of its own."""
     n = batch.num_rows
     if not n:
         return
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (column, *more))
     ends, at = np.cumsum(lengths), 0
     while at < n:
         done = ends[at - 1] if at else 0

@@ -4,9 +4,11 @@ A document is the bag of its five-word shingles; the similarity of two is the
 probability Jaccard of their counts (plain Jaccard where no shingle repeats).
 Each shingle sends exponential arrivals at the rate of its weight to random
 registers, until an arrival is later than every register of its document. Bands
-of registers give buckets. Documents of equal words are one class beforehand;
-classes of a bucket meet its centre, not each other, then only what is still
-apart is compared further; links are verified exactly and joined to components.
+of registers give buckets. Documents of equal words are one class beforehand.
+Classes of a bucket meet its centre, not each other; links are verified exactly
+and joined to components. Buckets that still hold several components get other
+centres for some rounds; what is apart even then is compared with all of its
+bucket, in blocks and by registers first, then exactly.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.9998.
 BANDS, ROWS = 28, 6
+#: Rounds of other centres; each takes one of SPREAD of a class's buckets that are still mixed.
+CENTRES, SPREAD = 4, 4
+#: Buckets up to SMALL are compared whole; larger ones in blocks of BLOCK, where registers must agree on at least similarity - SLACK.
+SMALL, BLOCK, SLACK = 12, 512, 0.1
 _OTHER = 0xD6E8FEB86659FD93
 
 
@@ -82,7 +88,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 key = B.mix(key * np.uint64(B._BASE) + band[:, :, i])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("uid"), *(pa.array(p.view(np.int64)) for p in prints), pa.array(n), lists], names=["id", "uid", "p", "q", "n", "bands"])
+            registers = [r.tobytes() for r in (q & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("uid"), *(pa.array(p.view(np.int64)) for p in prints), pa.array(n), lists, pa.array(registers, pa.binary())], names=["id", "uid", "p", "q", "n", "bands", "registers"])
 
 
 def similarity(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> float:
@@ -106,13 +113,12 @@ def similarity(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> fl
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in B.slices(batch, "tx"):
+            for part in B.slices(batch, "tx", B.CHUNK // 2, "ty"):
                 sides = []
                 for c in ("tx", "ty"):
-                    for piece in [part.column(c)]:
-                        doc, w, count, _, n = shingles(piece)
-                        order = np.argsort(doc, kind="stable")
-                        sides.append((w[order], count[order], np.searchsorted(doc[order], np.arange(len(n) + 1))))
+                    doc, w, count, _, n = shingles(part.column(c))
+                    order = np.argsort(doc, kind="stable")
+                    sides.append((w[order], count[order], np.searchsorted(doc[order], np.arange(len(n) + 1))))
                 (w, u, a), (z, v, b) = sides
                 got = np.array([similarity(w[a[k] : a[k + 1]], u[a[k] : a[k + 1]], z[b[k] : b[k + 1]], v[b[k] : b[k + 1]]) for k in range(part.num_rows)])
                 ok = pa.array(got >= least - 1e-12)
@@ -121,6 +127,24 @@ def _verify(least: float):
     return run
 
 
+def _close(least: float):
+    """For a block of a bucket: pairs of a class that asks and one of another component whose registers agree enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        c, k = table.column("c").to_numpy(), table.column("k").to_numpy()
+        r = np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("registers")])
+        x, y = [], []
+        for i in np.flatnonzero(asks):
+            j = np.flatnonzero(~asks & (k != k[i]))
+            j = j[(r[j] == r[i]).mean(1) >= least]
+            x.append(np.minimum(c[i], c[j]))
+            y.append(np.maximum(c[i], c[j]))
+        return pa.table({"x": np.concatenate([*x, np.zeros(0, np.int64)]), "y": np.concatenate([*y, np.zeros(0, np.int64)])})
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(v, comp): for each end of an edge (x, y) the smallest vertex that it reaches. Labels go to neighbours and jump to
     their label's label until none changes; each round is written."""
@@ -138,7 +162,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id of its component; the row's own if alone), n_links
-    (verified links of its words' class, to the classes that it was compared with), kept (one row of each component: the
+    (verified links of its words' class among those that were needed to find the component), kept (one row of each component: the
     one with the smallest id, then the first), __uid.
 
     Texts without words and null texts are never linked and always kept. Null ids
@@ -147,10 +171,10 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     """
     docs = numbered(docs)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col("__uid").alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sketch = written(rows.mapInArrow(_sketch, "id long, uid long, p long, q long, n long, bands array<long>"), "sketch")
+    sketch = written(rows.mapInArrow(_sketch, "id long, uid long, p long, q long, n long, bands array<long>, registers binary"), "sketch")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     words = sketch.where("n > 0")
-    classes = written(words.groupBy("p", "q").agg(F.min(order).alias("first"), F.first("bands").alias("bands")).select("p", "q", F.col("first.uid").alias("c"), F.col("first.id").alias("id"), "bands"), "classes")
+    classes = written(words.groupBy("p", "q").agg(F.min(order).alias("first"), F.first("bands").alias("bands"), F.first("registers").alias("registers")).select("p", "q", F.col("first.uid").alias("c"), F.col("first.id").alias("id"), "bands", "registers"), "classes")
     buckets = classes.select("c", F.explode("bands").alias("b"))
     rank = lambda c: F.xxhash64(c)
     centres = buckets.groupBy("b").agg(F.min(F.struct(rank("c").alias("r"), "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("b", F.col("m.c").alias("y"), F.col("m.r").alias("r"))
@@ -175,18 +199,37 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     if not rest.isEmpty():
         links = links.union(verified(rest))
         comp = components(links)
-    # Members of a bucket in different components that never met
-    named = buckets.join(centres.select("b"), "b").join(comp.withColumnRenamed("v", "c"), "c", "left").select("b", "c", F.coalesce("comp", "c").alias("k"))
-    mixed = named.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("b")
-    mixed = written(named.join(mixed, "b"), "mixed")
-    tested = first.union(rest)
-    tested = tested.union(tested.select("y", "x"))
-    others = mixed.join(mixed.select("b", F.col("c").alias("y"), F.col("k").alias("ky")), "b").where("k < ky").select(F.col("c").alias("x"), "y").distinct().join(tested, ["x", "y"], "left_anti")
-    others = written(others, "others")
-    if not others.isEmpty():
-        more = verified(others)
-        links = links.union(more)
-        if not more.isEmpty():
+    # Buckets whose members are still in several components: other centres, then all that is apart
+    def named(table: DataFrame) -> DataFrame:
+        return table.join(comp.withColumnRenamed("v", "c"), "c", "left").select("b", "c", F.coalesce("comp", "c").alias("k"))
+
+    several = lambda t: t.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("b")
+    held = named(buckets.join(centres.select("b"), "b"))
+    mixed = written(held.join(several(held), "b").select("b", "c"), "mixed")
+    if not mixed.isEmpty():
+        for turn in range(CENTRES):
+            now = named(mixed.where(F.pmod(F.xxhash64("b", F.lit(turn)), F.lit(SPREAD)) == 0))
+            centre = now.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), F.col("c").alias("y"), F.col("k").alias("ky"))).alias("m")).where("lo <> hi").select("b", "m")
+            p = written(now.join(centre, "b").where("k <> m.ky").select(F.col("c").alias("x"), F.col("m.y").alias("y")).distinct(), "turn")
+            if not p.isEmpty():
+                links = links.union(verified(p))
+                comp = components(links)
+        now = named(mixed)
+        sizes = now.groupBy("b", "k").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "k")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1").select("b", "n", F.col("main.k").alias("main"))
+        now = written(now.join(sizes, "b"), "apart")
+        small = now.where(F.col("n") <= SMALL)
+        p = small.select("b", F.col("c").alias("x"), "k").join(small.select("b", F.col("c").alias("y"), F.col("k").alias("ky")), "b").where("k < ky").select("x", "y").distinct()
+        large = now.where(F.col("n") > SMALL).join(classes.select("c", "registers"), "c")
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        place = F.pmod(F.xxhash64("c", F.lit(99)), parts).cast("int")
+        every = F.explode(F.sequence(F.lit(0), parts - 1))
+        asked = large.where("k <> main").select("b", place.alias("i"), every.alias("j"), F.lit(True).alias("asks"), "c", "k", "registers")
+        there = large.select("b", every.alias("i"), place.alias("j"), F.lit(False).alias("asks"), "c", "k", "registers")
+        close = asked.union(there).groupBy("b", "i", "j").applyInArrow(_close(least - SLACK), "x long, y long").distinct()
+        tested = first.union(rest)
+        p = written(p.union(close).distinct().join(tested.union(tested.select("y", "x")), ["x", "y"], "left_anti"), "others")
+        if not p.isEmpty():
+            links = links.union(verified(p))
             comp = components(links)
     degree = links.select("x").union(links.select("y")).groupBy("x").agg(F.count("*").alias("n_links")).withColumnRenamed("x", "c")
     label = classes.select("p", "q", "c", "id").join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(degree, "c", "left")
