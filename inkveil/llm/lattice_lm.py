@@ -25,7 +25,9 @@ from .token_counts import MARK
 ROUNDS = 3
 #: Words of at least 1 / HEAVY of all training tokens, so at most HEAVY of them, are broadcast; the others are joined.
 HEAVY = 1 << 20
-_CACHE = 1 << 20
+_CACHE = 1 << 19
+#: Bytes of words whose lattices are held at once; a lattice takes about 400 times as many.
+_PART = 1 << 17
 
 
 def load_vocabulary(model_file: str) -> list[tuple[bytes, float]]:
@@ -100,6 +102,12 @@ class Lattice:
 
     def forward(self, flat: np.ndarray, off: np.ndarray, logp: np.ndarray, counts=None):
         """Log probability of each word; with counts, made of it, also the expected uses of each piece."""
+        if counts is None and off[-1] > _PART:
+            cuts = np.unique(np.append(np.searchsorted(off, np.arange(0, off[-1], _PART)), len(off) - 1))
+            return np.concatenate([self._forward(flat[off[i] : off[j]], off[i : j + 1] - off[i], logp, None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        return self._forward(flat, off, logp, counts)
+
+    def _forward(self, flat: np.ndarray, off: np.ndarray, logp: np.ndarray, counts):
         words = len(off) - 1
         node = off + np.arange(words + 1)
         src, dst, piece, bare = self.edges(flat, off)
@@ -189,7 +197,7 @@ def fit(counts: DataFrame, words: int, vocabulary: list[tuple[bytes, float]], ro
             lat, p, q = shared.value
             total = np.zeros(lat.n + 1)
             for batch in batches:
-                for part in B.slices(batch, "word", 1 << 20):
+                for part in B.slices(batch, "word", _PART):
                     flat, off = _join(part.column("word"))
                     c = part.column("c").to_numpy().astype(float)
                     whole = q * (c - 1) / max(1, words - 1)
