@@ -25,8 +25,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload string"
 
 
-def digests(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload (null: empty), payload_bytes, payload_digest (base32 SHA-1), sha256 and __uid of each row."""
+def digests(pages: DataFrame) -> DataFrame:
+    """__uid, page_id, url, payload_bytes, payload_digest (base32 SHA-1) and sha256 of each row of (__uid, page_id, url, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,25 +34,23 @@ def digests(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 texts = [t.as_buffer() for t in part.column("payload")]
                 sha = [base64.b32encode(hashlib.sha1(t).digest()).decode() for t in texts]
                 full = [hashlib.sha256(t).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(full, pa.binary())], names=[*part.schema.names, "payload_bytes", "payload_digest", "sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("__uid"), part.column("page_id"), part.column("url"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(full, pa.binary())], names=["__uid", "page_id", "url", "payload_bytes", "payload_digest", "sha256"])
 
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("__uid"))
-    return rows.mapInArrow(run, "page_id long, url string, payload string, __uid long, payload_bytes long, payload_digest string, sha256 binary")
+    return pages.select("__uid", "page_id", "url", "payload").mapInArrow(run, "__uid long, page_id long, url string, payload_bytes long, payload_digest string, sha256 binary")
 
 
-def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """The records (see digests) with record_type and refers_to.
+def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The headers (see digests) with record_type and refers_to, without sha256.
 
     Headers alone are shuffled by digest: of equal payloads of at least
     min_bytes the record with the smallest page_id (null last; then the first in
     the table) is the response, the others revisit it. The payload digests of
     SHA-1 and SHA-256 must both agree. Only revisits are joined back by record.
     """
-    heads = records.where(F.col("payload_bytes") >= min_bytes).select("payload_digest", "sha256", "page_id", "__uid")
     order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "__uid")
-    first = heads.groupBy("payload_digest", "sha256").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = heads.join(first, ["payload_digest", "sha256"]).where("__uid <> first.__uid").select("__uid", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("again"))
-    return records.join(again, "__uid", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), "refers_to")
+    first = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "sha256").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = heads.where(F.col("payload_bytes") >= min_bytes).select("payload_digest", "sha256", "__uid").join(first, ["payload_digest", "sha256"]).where("__uid <> first.__uid").select("__uid", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("again"))
+    return heads.join(again, "__uid", "left").select("__uid", "page_id", "url", "payload_bytes", "payload_digest", F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), "refers_to")
 
 
 def write(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", per_file: int = RECORDS_PER_FILE) -> None:
@@ -112,11 +110,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, _READ)
 
 
-def deduplicate(pages: DataFrame, path: str, min_bytes: int = 0, **columns: str) -> DataFrame:
+def deduplicate(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes the pages as deduplicated archives under path and returns what read() gives of them.
 
-    Empty tables give archives without records. Repeated rows are revisits of
-    the first. Extra columns are not written.
+    Null payloads count as empty. Empty tables give archives without records.
+    Repeated rows are revisits of the first. Extra columns are not written.
     """
-    write(resolve(written(digests(pages, **columns), "warc"), min_bytes), path)
+    rows = pages.select(F.monotonically_increasing_id().alias("__uid"), F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
+    heads = written(digests(rows), "warc")
+    write(rows.select("__uid", "payload").join(resolve(heads, min_bytes), "__uid"), path)
     return read(pages.sparkSession, path)
