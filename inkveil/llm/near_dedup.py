@@ -7,8 +7,9 @@ registers, until an arrival is later than every register of its document. Bands
 of registers give buckets. Documents of equal words are one class beforehand.
 Classes of a bucket meet its centre, not each other; links are verified exactly
 and joined to components. Buckets that still hold several components get other
-centres for some rounds; what is apart even then is compared with all of its
-bucket, in blocks and by registers first, then exactly.
+centres for some rounds. What is apart even then is compared whole: small buckets
+by a join; larger ones are united to clusters, and blocks of a cluster meet, where
+registers prune, texts decide, and only links that join components come out.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ SIMILARITY = 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.9998.
 BANDS, ROWS = 28, 6
 #: Rounds of other centres; each takes one of SPREAD of a class's buckets that are still mixed.
-CENTRES, SPREAD = 4, 4
-#: Buckets up to SMALL are compared whole; larger ones in blocks of BLOCK, where registers must agree on at least similarity - SLACK.
-SMALL, BLOCK, SLACK = 12, 512, 0.1
+CENTRES, SPREAD = 2, 4
+#: Buckets up to SMALL are compared by a join; larger ones in blocks of BLOCK, where registers must agree on at least similarity - SLACK.
+SMALL, BLOCK, SLACK = 12, 256, 0.1
 _OTHER = 0xD6E8FEB86659FD93
 
 
@@ -95,10 +96,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similarity(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> float:
     """The probability Jaccard of two bags (distinct keys and counts)."""
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if len(both) and u.max() == 1 and v.max() == 1:
+        return len(both) / (len(a) + len(b) - len(both))
     if not len(both):
         return 0.0
-    if u.max() == 1 and v.max() == 1:
-        return len(both) / (len(a) + len(b) - len(both))
     x = np.concatenate([u[i], np.delete(u, i), np.zeros(len(b) - len(j))]).astype(float)
     y = np.concatenate([v[j], np.zeros(len(a) - len(i)), np.delete(v, j)]).astype(float)
     with np.errstate(divide="ignore"):
@@ -127,20 +128,34 @@ def _verify(least: float):
     return run
 
 
-def _close(least: float):
-    """For a block of a bucket: pairs of a class that asks and one of another component whose registers agree enough."""
+def _meet(least: float):
+    """Of two blocks of a cluster (or one with itself): links between components, as many as join them; a pair of one
+    component by then, or whose registers agree too little, is not looked at."""
 
-    def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        c, k = table.column("c").to_numpy(), table.column("k").to_numpy()
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, i, j = (x.as_py() for x in key)
+        c, place = table.column("c").to_numpy(), table.column("place").to_numpy()
+        _, k = np.unique(table.column("k").to_numpy(), return_inverse=True)
+        if k.max(initial=0) == 0:
+            return pa.table({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "s": np.zeros(0)})
+        doc, w, count, _, n = shingles(table.column("t").combine_chunks())
+        order = np.lexsort((w, doc))
+        w, count, at = w[order], count[order], np.searchsorted(doc[order], np.arange(len(n) + 1))
         r = np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("registers")])
-        x, y = [], []
-        for i in np.flatnonzero(asks):
-            j = np.flatnonzero(~asks & (k != k[i]))
-            j = j[(r[j] == r[i]).mean(1) >= least]
-            x.append(np.minimum(c[i], c[j]))
-            y.append(np.maximum(c[i], c[j]))
-        return pa.table({"x": np.concatenate([*x, np.zeros(0, np.int64)]), "y": np.concatenate([*y, np.zeros(0, np.int64)])})
+        out, there = [], np.flatnonzero(place == j)
+        for a in np.flatnonzero(place == i):
+            near = there[k[there] != k[a]]
+            agree = (r[near] == r[a]).mean(1)
+            near = near[np.argsort(-agree, kind="stable")[: (agree >= least - SLACK).sum()]]
+            for b in near:
+                if k[a] == k[b]:
+                    continue
+                s = similarity(w[at[a] : at[a + 1]], count[at[a] : at[a + 1]], w[at[b] : at[b + 1]], count[at[b] : at[b + 1]])
+                if s >= least - 1e-12:
+                    out.append((c[a], c[b], s))
+                    k[k == k[b]] = k[a]
+        x, y, s = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "s": pa.array(s, pa.float64())})
 
     return run
 
@@ -219,18 +234,19 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
         now = written(now.join(sizes, "b"), "apart")
         small = now.where(F.col("n") <= SMALL)
         p = small.select("b", F.col("c").alias("x"), "k").join(small.select("b", F.col("c").alias("y"), F.col("k").alias("ky")), "b").where("k < ky").select("x", "y").distinct()
-        large = now.where(F.col("n") > SMALL).join(classes.select("c", "registers"), "c")
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
-        place = F.pmod(F.xxhash64("c", F.lit(99)), parts).cast("int")
-        every = F.explode(F.sequence(F.lit(0), parts - 1))
-        asked = large.where("k <> main").select("b", place.alias("i"), every.alias("j"), F.lit(True).alias("asks"), "c", "k", "registers")
-        there = large.select("b", every.alias("i"), place.alias("j"), F.lit(False).alias("asks"), "c", "k", "registers")
-        close = asked.union(there).groupBy("b", "i", "j").applyInArrow(_close(least - SLACK), "x long, y long").distinct()
+        large = now.where(F.col("n") > SMALL).select("b", "c")
+        clusters = components(large.join(large.groupBy("b").agg(F.min("c").alias("y")), "b").where("c <> y").select(F.col("c").alias("x"), "y").distinct())
+        members = clusters.select(F.col("comp").alias("u"), F.col("v").alias("c")).join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("k", F.coalesce("comp", "c")).drop("comp")
+        members = members.join(members.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "u")
+        members = members.join(classes.select("c", "registers"), "c").join(texts.withColumnRenamed("uid", "c"), "c")
+        place = F.pmod(F.xxhash64("c", F.lit(99)), F.col("parts")).cast("int")
+        members = members.select("u", "c", "k", "registers", "t", place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        met = members.withColumn("i", F.least("place", "o")).withColumn("j", F.greatest("place", "o")).groupBy("u", "i", "j").applyInArrow(_meet(least), "x long, y long, s double")
+        links = links.union(written(met, "met"))
         tested = first.union(rest)
-        p = written(p.union(close).distinct().join(tested.union(tested.select("y", "x")), ["x", "y"], "left_anti"), "others")
-        if not p.isEmpty():
-            links = links.union(verified(p))
-            comp = components(links)
+        p = written(p.join(tested.union(tested.select("y", "x")), ["x", "y"], "left_anti"), "others")
+        links = links.union(verified(p))
+        comp = components(links)
     degree = links.select("x").union(links.select("y")).groupBy("x").agg(F.count("*").alias("n_links")).withColumnRenamed("x", "c")
     label = classes.select("p", "q", "c", "id").join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(degree, "c", "left")
     head = label.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("c").alias("uid"))).alias("h"))
