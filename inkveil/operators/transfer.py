@@ -1,0 +1,37 @@
+"""Labels carried from true words to recognised segments."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from . import layout, spans
+
+
+def entity_of_words(words: DataFrame, entities: DataFrame, page: str) -> DataFrame:
+    """The last entity that holds each word: page, wi, ei (words in none are left out)."""
+    e = entities.select(page, "ei", F.col("start").alias("a"), F.col("end").alias("b"))
+    return words.join(e, page).where("start >= a and end <= b").groupBy(page, "wi").agg(F.max("ei").alias("ei"))
+
+
+def transfer(segments: DataFrame, words: DataFrame, entities: DataFrame, page: str, least: float = 0.5) -> DataFrame:
+    """Gold spans over recognised text: each segment takes its best word's entity; neighbours of one entity form a run.
+
+    segments: page, si, start, end, text and box; one row for each run: page, ei, start, end, ocr, gt, cer.
+    """
+    pairs = layout.overlap_pairs(segments.select(page, "si", "x0", "y0", "x1", "y1"), words.select(page, "wi", "x0", "y0", "x1", "y1"), page)
+    best = layout.best_overlap(pairs, page, "l_si", "r_wi", least).select(page, F.col("l_si").alias("si"), F.col("r_wi").alias("wi"))
+    tagged = segments.join(best, [page, "si"], "left").join(entity_of_words(words, entities, page), [page, "wi"], "left")
+    run = spans.runs(tagged, [page], ["si"], "ei").where("run is not null")
+    parts = run.groupBy(page, "run", "ei").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("si", "text"))), lambda s: s["text"]), " ").alias("ocr"))
+    gold = parts.join(entities.select(page, "ei", F.col("text").alias("gt")), [page, "ei"]).drop("run")
+    return gold.withColumn("cer", T.cer(F.col("gt"), F.col("ocr")))
+
+
+def missed(entities: DataFrame, gold: DataFrame, page: str) -> DataFrame:
+    return entities.join(gold.select(page, "ei"), [page, "ei"], "left_anti")
+
+
+def first_rank(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")
