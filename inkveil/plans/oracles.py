@@ -184,8 +184,8 @@ def all_sql() -> dict[str, str]:
             SELECT f.id, f."start", min(t.i) - 1 AS "first", max(t.i) - 1 AS "last" FROM {_chosen(_ids)} f LEFT JOIN t ON t.id = f.id AND t.e - t.len >= f."start" AND t.e <= f."end" GROUP BY f.id, f."start" """,
         "fill_gaps": f"""WITH RECURSIVE b AS MATERIALIZED (SELECT page, kind, label, row_number() OVER (PARTITION BY page, kind, label ORDER BY y0, x0, ord) AS rn, struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, score := score) AS r FROM {_boxes} WHERE kind = 'text'),
             w AS (SELECT page, kind, label, rn, [r] AS kept FROM b WHERE rn = 1
-                UNION ALL SELECT page, kind, label, rn, CASE WHEN at > 0 THEN list_transform(kept, lambda m, i: CASE WHEN i = at THEN struct_pack(x0 := least(m.x0, r.x0), y0 := least(m.y0, r.y0), x1 := greatest(m.x1, r.x1), y1 := greatest(m.y1, r.y1), score := greatest(m.score, r.score)) ELSE m END) ELSE list_append(kept, r) END
-                FROM (SELECT b.page, b.kind, b.label, b.rn, w.kept, b.r, coalesce(list_position(list_transform(w.kept, lambda m: least(m.y1, b.r.y1) - greatest(m.y0, b.r.y0) >= 0.5 * least(m.y1 - m.y0, b.r.y1 - b.r.y0) AND greatest(m.x0, b.r.x0) - least(m.x1, b.r.x1) <= 2.5 * greatest(m.y1 - m.y0, b.r.y1 - b.r.y0)), true), 0) AS at
+                UNION ALL SELECT page, kind, label, rn, CASE WHEN spot > 0 THEN list_transform(kept, lambda m, i: CASE WHEN i = spot THEN struct_pack(x0 := least(m.x0, r.x0), y0 := least(m.y0, r.y0), x1 := greatest(m.x1, r.x1), y1 := greatest(m.y1, r.y1), score := greatest(m.score, r.score)) ELSE m END) ELSE list_append(kept, r) END
+                FROM (SELECT b.page, b.kind, b.label, b.rn, w.kept, b.r, coalesce(list_position(list_transform(w.kept, lambda m: least(m.y1, b.r.y1) - greatest(m.y0, b.r.y0) >= 0.5 * least(m.y1 - m.y0, b.r.y1 - b.r.y0) AND greatest(m.x0, b.r.x0) - least(m.x1, b.r.x1) <= 2.5 * greatest(m.y1 - m.y0, b.r.y1 - b.r.y0)), true), 0) AS spot
                     FROM w JOIN b ON b.page = w.page AND b.kind = w.kind AND b.label = w.label AND b.rn = w.rn + 1))
             SELECT page, kind, label, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1, round(k.score, 6) AS score FROM (SELECT page, kind, label, unnest(arg_max(kept, rn)) AS k FROM w GROUP BY page, kind, label)
             UNION ALL SELECT page, kind, label, x0, y0, x1, y1, round(score, 6) FROM {_boxes} WHERE kind <> 'text'""",
