@@ -1,8 +1,10 @@
 """A counterfactual-regularised toxicity classifier.
 
-Logistic regression over the presence of selected words. For each labelled text
-with identity terms, the same text with the terms swapped must get nearly the
-same score: the squared change of the logit is part of the loss.
+Logistic regression over the presence of selected words and stems (first bytes
+of longer words, so that endings don't hide a word). For each labelled text with
+identity terms, the same text with the terms swapped must get nearly the same
+score: the squared change of the logit is part of the loss. A last step sets the
+scale of the logits by smoothed labels.
 """
 
 from __future__ import annotations
@@ -28,18 +30,28 @@ IDENTITIES = (
 )
 #: Labelled rows that the classifier is fitted on at most; words that it may use at most besides identity terms.
 MAX_TRAIN_ROWS, MAX_WORDS = 20_000, 1024
-LEAST_DOCS = 5
+LEAST_DOCS = 4
+#: Bytes of a stem.
+STEM = 5
 #: The least likelihood ratio statistic of a word.
-LEAST_G = 30.0
+LEAST_G = 18.0
 THRESHOLD = 0.7
 
 
-def _words(column: pa.Array):
+def _features(column: pa.Array, swap: tuple[np.ndarray, np.ndarray] | None = None):
+    """Hashes of the words and stems of each text, and each one's document; with swap, of the text with its terms swapped."""
     data, offsets = B.raw(column)
     data = B.LOWER[data]
     starts, ends, bound = B.spans(data, offsets, B.ALNUM)
-    h = B.hashes(data, starts, ends)
-    return h, np.repeat(np.arange(len(bound) - 1), np.diff(bound)), bound
+    h, doc = B.hashes(data, starts, ends), np.repeat(np.arange(len(bound) - 1), np.diff(bound))
+    long = ends - starts > STEM
+    if swap is not None and len(h):
+        old, new = swap
+        to = np.minimum(np.searchsorted(old, h), len(old) - 1)
+        hit = old[to] == h
+        h, long = np.where(hit, new[to], h), long & ~hit
+    stems = B.mix(B.hashes(data, starts[long], starts[long] + STEM) + np.uint64(1))
+    return np.concatenate([h, stems]), np.concatenate([doc, doc[long]])
 
 
 def _swaps() -> dict[int, int]:
@@ -68,7 +80,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label
     return rows.join(F.broadcast(some), "k").select("k", "t", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label_key: str = "doc_id", label: str = "toxic", held_out: tuple[int, int] = (3, 1), max_rows: int = MAX_TRAIN_ROWS, penalty: float = 5.0, ridge: float = 3e-4) -> dict:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label_key: str = "doc_id", label: str = "toxic", held_out: tuple[int, int] = (3, 1), max_rows: int = MAX_TRAIN_ROWS, penalty: float = 5.0, ridge: float = 1e-5) -> dict:
     """The model: sorted word hashes, weights, bias. Words are chosen by the likelihood ratio of their document counts; one
     number for each of at most MAX_WORDS words and the features of at most max_rows texts come to the driver."""
     rows = training_rows(docs, labels, text, key, label_key, label, held_out, max_rows)
@@ -76,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in B.slices(batch, "t"):
-                h, doc, _ = _words(part.column("t"))
+                h, doc = _features(part.column("t"))
                 _, _, at = B.distinct(B.mix(h + B.mix(doc.astype(np.uint64) + np.uint64(1))))
                 codes, values, _ = B.distinct(h[at])
                 y = (part.column("y").to_numpy() > 0)[doc[at]].astype(float) if len(at) else np.zeros(0)
@@ -102,19 +114,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         old, new = old[order], new[order]
         for batch in batches:
             for part in B.slices(batch, "t"):
-                h, doc, _ = _words(part.column("t"))
-                other = h.copy()
-                if len(h):
-                    to = np.minimum(np.searchsorted(old, h), len(old) - 1)
-                    other = np.where(old[to] == h, new[to], h)
                 lists = []
-                for x in (h, other):
+                for x, doc in (_features(part.column("t")), _features(part.column("t"), (old, new))):
                     d, w = _presence(x, doc, v)
                     lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(w)))
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), *lists], names=["k", "y", "x", "z"])
 
     got = rows.mapInArrow(features, "k long, y int, x array<long>, z array<long>").toPandas().sort_values("k")
-    weights, bias = fit([np.asarray(x) for x in got["x"]], [np.asarray(z) for z in got["z"]], (got["y"].to_numpy() > 0).astype(float), len(vocabulary), penalty, ridge)
+    x, y = [np.asarray(x, np.int64) for x in got["x"]], (got["y"].to_numpy() > 0).astype(float)
+    weights, bias = fit(x, [np.asarray(z, np.int64) for z in got["z"]], y, len(vocabulary), penalty, ridge)
+    a, b = scale(np.array([weights[i].sum() for i in x]) + bias, y)
+    weights, bias = a * weights, a * bias + b
     return {"words": vocabulary, "weights": weights, "bias": bias}
 
 
@@ -139,6 +149,22 @@ def fit(x: list[np.ndarray], z: list[np.ndarray], y: np.ndarray, width: int, pen
     return w, float(b)
 
 
+def scale(logits: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Platt's scale and shift of logits, by Newton's method on smoothed labels."""
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    design, w = np.stack([logits, np.ones(len(y))], 1), np.array([1.0, 0.0])
+    loss = lambda w: float((np.logaddexp(0, design @ w) - target * (design @ w)).sum())
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (target - p))
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step /= 2
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def score(docs: DataFrame, model: dict, text: str = "text", prefix: str = "toxic_", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with <prefix>score (0 to 1) and <prefix>predicted, which replace columns of these names. Null and empty texts
     get the score of a text without known words; empty tables give no rows."""
@@ -151,7 +177,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", prefix: str = "toxic
         m = shared.value
         for batch in batches:
             for part in B.slices(batch, text):
-                h, doc, _ = _words(part.column(text))
+                h, doc = _features(part.column(text))
                 d, w = _presence(h, doc, m["words"])
                 s = 1 / (1 + np.exp(-(m["bias"] + np.bincount(d, m["weights"][w], part.num_rows))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *names])
