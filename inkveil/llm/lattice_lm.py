@@ -3,9 +3,11 @@
 An existing vocabulary gives the pieces and, by its scores, first weights; these
 are re-estimated on the counts of all training words by forward and backward
 sums. A word is a word-start mark and its bytes; every byte is a piece, so every
-text has a probability. One more segmentation of a word is the word itself: an
-arc over all of it, weighted by its training count (in training less one, so that
-the arc's share is honest for new text). The forward recursion runs in log space,
+text has a probability. More segmentations of a word are the word itself: arcs
+over all of it, weighted by its training counts in one class of texts and in all
+(in training less one, so that the arcs' shares are honest for new text). Classes
+are the training texts' languages; a text's probability is the sum over classes,
+and its own language is never looked at. The forward recursion runs in log space,
 for many words at once; a word's result is kept while its task's cache holds it.
 """
 
@@ -25,6 +27,8 @@ from .token_counts import MARK
 ROUNDS = 3
 #: Words of at least 1 / HEAVY of all training tokens, so at most HEAVY of them, are broadcast; the others are joined.
 HEAVY = 1 << 20
+#: Classes of texts at most, those with most training texts; other texts are in none.
+CLASSES = 8
 _CACHE = 1 << 19
 #: Bytes of words whose lattices are held at once; a lattice takes about 400 times as many.
 _PART = 1 << 17
@@ -150,75 +154,100 @@ def _tokens(column: pa.Array):
     return (data, *B.spans(data, offsets, B.SOLID))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word binary, h, c) of all words of column t; counts meet in each task first."""
+def word_counts(rows: DataFrame, classes: int) -> DataFrame:
+    """(word binary, h, c, cs) of all words of column t: counts in all and by class (column k, -1 for none); counts meet in
+    each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
-            h = np.concatenate([x[0] for x in held])
-            c = np.concatenate([x[1] for x in held])
-            words = np.concatenate([np.array(x[2], object) for x in held])
-            codes, values, at = B.distinct(h)
-            return pa.RecordBatch.from_arrays([pa.array(words[at], pa.binary()), pa.array(values.view(np.int64)), pa.array(np.bincount(codes, c).astype(np.int64))], names=["word", "h", "c"])
+            h, k, c = (np.concatenate([x[i] for x in held]) for i in range(3))
+            words = np.concatenate([np.array(x[3], object) for x in held])
+            codes, _, at = B.distinct(B.mix(h + k.astype(np.uint64) * np.uint64(B._BASE)))
+            return pa.RecordBatch.from_arrays([pa.array(words[at], pa.binary()), pa.array(h[at].view(np.int64)), pa.array(k[at]), pa.array(np.bincount(codes, c).astype(np.int64))], names=["word", "h", "k", "c"])
 
         for batch in batches:
             for part in B.slices(batch, "t"):
-                data, starts, ends, _ = _tokens(part.column("t"))
+                data, starts, ends, bound = _tokens(part.column("t"))
                 if not len(starts):
                     continue
-                codes, values, at = B.distinct(B.hashes(data, starts, ends))
+                kind = np.repeat(part.column("k").to_numpy().astype(np.int64), np.diff(bound))
+                h = B.hashes(data, starts, ends)
+                codes, _, at = B.distinct(B.mix(h + kind.astype(np.uint64) * np.uint64(B._BASE)))
                 whole = data.tobytes()
-                held.append((values, np.bincount(codes), [whole[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-                size += len(values)
+                held.append((h[at], kind[at], np.bincount(codes), [whole[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+                size += len(at)
                 if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return rows.select("t").mapInArrow(run, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
+    each = [F.coalesce(F.sum(F.when(F.col("k") == i, F.col("c"))), F.lit(0)) for i in range(classes)]
+    counts = rows.select("t", "k").mapInArrow(run, "word binary, h long, k long, c long")
+    return counts.groupBy("word", "h").agg(F.sum("c").alias("c"), (F.array(*each) if each else F.array().cast("array<bigint>")).alias("cs"))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    flat = column.flatten() if isinstance(column, pa.ListArray) else pa.array([x for row in column.to_pylist() for x in row], pa.int64())
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
 def _join(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return B.raw(words.cast(pa.large_binary()))
 
 
-def fit(counts: DataFrame, words: int, vocabulary: list[tuple[bytes, float]], rounds: int = ROUNDS) -> tuple[Lattice, np.ndarray, float]:
-    """Piece weights and the share of whole-word arcs, from the counts of all words; each round sends one number a piece."""
+def fit(counts: DataFrame, sizes: np.ndarray, vocabulary: list[tuple[bytes, float]], rounds: int = ROUNDS) -> tuple[Lattice, np.ndarray, tuple[float, float]]:
+    """Piece weights, and the shares of a class's and of all texts' whole-word arcs, from the counts of all words. sizes: words
+    by class, then of all. Each round sends one number a piece."""
     lattice = Lattice(vocabulary)
     context = counts.sparkSession.sparkContext
-    logp, share = lattice.logp, 0.5
+    logp, shares, words = lattice.logp, (0.4, 0.3), sizes[-1]
     for _ in range(rounds if words else 0):
-        shared = context.broadcast((lattice, logp, share))
+        shared = context.broadcast((lattice, logp, shares))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lat, p, q = shared.value
-            total = np.zeros(lat.n + 1)
+            lat, p, (own, every) = shared.value
+            total = np.zeros(lat.n + 2)
             for batch in batches:
                 for part in B.slices(batch, "word", _PART):
                     flat, off = _join(part.column("word"))
+                    if not len(flat):
+                        continue
                     c = part.column("c").to_numpy().astype(float)
-                    whole = q * (c - 1) / max(1, words - 1)
-                    pieces = lambda z, c=c, whole=whole: c * (1 - whole / (whole + (1 - q) * np.exp(np.maximum(z, -700))))
-                    if len(flat):
-                        z, own = lat.forward(flat, off, p, pieces)
-                        total[:-1] += own
-                        total[-1] += (c - pieces(z)).sum()
+                    cs = np.column_stack([_matrix(part.column("cs"), len(sizes) - 1), c])
+                    n = np.column_stack([cs[:, :-1], c - cs[:, :-1].sum(1)])  # the last: texts of no class
+                    a = own * np.maximum(cs - 1, 0) / np.maximum(sizes - 1, 1)
+                    b = every * (c - 1) / max(words - 1, 1)
+
+                    def split(z, n=n, a=a, b=b, own=own, every=every):
+                        rest = (1 - own - every) * np.exp(np.maximum(z, -700))
+                        return n * (a / (a + (b + rest)[:, None])), n * (b[:, None] / (a + (b + rest)[:, None]))
+
+                    def pieces(z, c=c, split=split):
+                        x, y = split(z)
+                        return np.maximum(c - x.sum(1) - y.sum(1), 0)
+
+                    z, use = lat.forward(flat, off, p, pieces)
+                    x, y = split(z)
+                    total[:-2] += use
+                    total[-2:] += x.sum(), y.sum()
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-        got = counts.select("word", "c").mapInArrow(expect, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-        total = np.zeros(lattice.n + 1)
+        got = counts.select("word", "c", "cs").mapInArrow(expect, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+        total = np.zeros(lattice.n + 2)
         total[got["i"].to_numpy()] += got["n"].to_numpy()
-        share = float(min(0.999, max(0.001, total[-1] / words)))
-        logp = np.log((total[:-1] + 0.01) / (total[:-1] + 0.01).sum())
+        own, every = (total[-2:] + 0.001 * words) / (words * 1.003)
+        shares = (float(own), float(every))
+        logp = np.log((total[:-2] + 0.01) / (total[:-2] + 0.01).sum())
         shared.unpersist()
-    return lattice, logp, share
+    return lattice, logp, shares
 
 
-def score(docs: DataFrame, vocabulary: list[tuple[bytes, float]], text: str = "text", key: str = "doc_id", held_out: tuple[int, int] = (5, 1), rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, vocabulary: list[tuple[bytes, float]], text: str = "text", key: str = "doc_id", held_out: tuple[int, int] = (5, 1), rounds: int = ROUNDS, lang: str | None = "lang") -> DataFrame:
     """One row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Learns from the rows whose key's crc32 does not leave the held-out remainder.
@@ -226,29 +255,36 @@ def score(docs: DataFrame, vocabulary: list[tuple[bytes, float]], text: str = "t
     and one end for each text; null counts as empty. base_score is that of single
     tokens with counts plus a half; score the lattice's. Repeated rows and null
     keys are scored like any; other columns are not read; without rows: no rows.
-    The model: a text ends after each token with the training texts' rate, or else
-    takes a word, by its arc or by its pieces.
+    The model: a text has a class; after each token it ends with the training
+    texts' rate, or else takes a word, by an arc or by its pieces. Where docs has
+    no column lang, there is one class.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), (remainder(F.col(key), held_out[0]) == held_out[1]).alias("held_out"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), (remainder(F.col(key), held_out[0]) == held_out[1]).alias("held_out"), (F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")).alias("l"))
     train = rows.where(~F.col("held_out"))
-    counts = written(word_counts(train), "words")
     texts = train.count()
-    n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, types = n + texts, types + (texts > 0)
-    words = n - texts
-    lattice, logp, share = fit(counts, words, vocabulary, rounds)
-    heavy = counts.where(F.col("c") * HEAVY >= n).select("h", "c").toPandas().sort_values("h")
-    known = (heavy["h"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64))
+    common = train.where("l is not null").groupBy("l").count().orderBy(F.desc("count"), "l").limit(CLASSES).collect()
+    number = F.coalesce(*(F.when(F.col("l") == x["l"], i) for i, x in enumerate(common)), F.lit(-1)) if common else F.lit(-1)
+    counts = written(word_counts(train.withColumn("k", number.cast("long")), len(common)), "words")
+    n, types, *by_class = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.coalesce(F.sum(F.get("cs", F.lit(i))), F.lit(0)) for i in range(len(common)))).first()
+    words, n, types = n, n + texts, types + (texts > 0)
+    sizes = np.array([*by_class, words], float)
+    lattice, logp, shares = fit(counts, sizes, vocabulary, rounds)
+    heavy = counts.where(F.col("c") * HEAVY >= n).select("h", "c", "cs").toPandas().sort_values("h")
+    known = (heavy["h"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64), np.array([list(x) for x in heavy["cs"]], float).reshape(len(heavy), len(common)))
     shared = spark.sparkContext.broadcast((lattice, logp, known))
+    prior = np.array([*(x["count"] for x in common), texts - sum(x["count"] for x in common) + 1.0]) + 0.5
+    prior = np.log10(prior / prior.sum())
+    each_class = range(len(prior))
     bottom = float(np.log10(n + 0.5 * (types + 1)))
     stop = (texts + 0.5) / (n + 1)
-    arc, other = share / max(1, words) * (1 - stop), float(np.log10((1 - share) * (1 - stop)))
+    arcs = [(1 - stop) * shares[0] / max(1.0, x) for x in sizes]  # by the class's count; of the last class, by the count of all
+    arc, other = (1 - stop) * shares[1] / max(1, words), float(np.log10((1 - sum(shares)) * (1 - stop)))
     base = lambda c: np.log10(c + 0.5) - bottom
-    model = lambda c, z: np.where(c > 0, np.log10(arc * c + 10 ** np.maximum(other + z, -300)), other + z)
+    model = lambda a, own, c, z: np.where(c > 0, np.log10(a * own + arc * c + 10 ** np.maximum(other + z, -300)), other + z)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, p, (hs, cs) = shared.value
+        lat, p, (hs, cs, ks) = shared.value
         cache: dict[int, float] = {}
         for batch in batches:
             for part in B.slices(batch, "t"):
@@ -266,27 +302,35 @@ def score(docs: DataFrame, vocabulary: list[tuple[bytes, float]], text: str = "t
                 where = np.minimum(np.searchsorted(hs, signed), max(0, len(hs) - 1))
                 hit = hs[where] == signed if len(hs) else np.zeros(len(signed), bool)
                 c = np.where(hit, cs[where], 0) if len(hs) else np.zeros(len(signed), np.int64)
+                k = np.where(hit[:, None], ks[where], 0) if len(hs) else np.zeros((len(signed), len(common)))
                 m, words = part.num_rows, np.diff(bound)
                 doc = np.repeat(np.arange(m), words)
                 add = lambda v, doc=doc, m=m: np.bincount(doc, v, m)
-                heads = [part.column("doc_id"), part.column("uid"), part.column("held_out"), pa.array(words + 1), pa.array((add(hit[codes].astype(float)) + (texts > 0)).astype(np.int64)), pa.array(add(np.where(hit, base(c), 0.0)[codes]) + base(texts)), pa.array(add(np.where(hit, model(c, logs), 0.0)[codes]) + np.log10(stop))]
+                heads = [part.column("doc_id"), part.column("uid"), part.column("held_out"), pa.array(words + 1), pa.array((add(hit[codes].astype(float)) + (texts > 0)).astype(np.int64)), pa.array(add(np.where(hit, base(c), 0.0)[codes]) + base(texts)), *(pa.array(add(np.where(hit, model(arcs[i], k[:, i] if i < len(common) else c, c, logs), 0.0)[codes]) + np.log10(stop)) for i in each_class)]
                 uid = part.column("uid").to_numpy()
                 rare = ~hit[codes]
                 pair, _, where = B.distinct(B.mix(doc[rare].astype(np.uint64) * np.uint64(B._BASE) + codes[rare].astype(np.uint64)))
                 tf = np.bincount(pair, minlength=len(where))
                 d, w = doc[rare][where], signed[codes[rare][where]]
-                k = len(d)
+                size = len(d)
                 yield pa.RecordBatch.from_arrays([*heads, pa.array(B.mix(uid.astype(np.uint64) + np.uint64(B._BASE)).view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.float64())], names=names)
-                none = [pa.nulls(k, f.type) for f in (part.schema.field("doc_id"),)]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(uid[d]), pa.nulls(k, pa.bool_()), *(pa.nulls(k, pa.int64()) for _ in range(2)), *(pa.nulls(k, pa.float64()) for _ in range(2)), pa.array(w), pa.array(tf), pa.array(logs[codes[rare][where]])], names=names)
+                none = pa.nulls(size, part.schema.field("doc_id").type)
+                yield pa.RecordBatch.from_arrays([none, pa.array(uid[d]), pa.nulls(size, pa.bool_()), *(pa.nulls(size, pa.int64()) for _ in range(2)), *(pa.nulls(size, pa.float64()) for _ in range(1 + len(prior))), pa.array(w), pa.array(tf), pa.array(logs[codes[rare][where]])], names=names)
 
-    names = ["doc_id", "uid", "held_out", "n_tokens", "n_known", "base_score", "score", "h", "tf", "z"]
+    names = ["doc_id", "uid", "held_out", "n_tokens", "n_known", "base_score", *(f"s{i}" for i in each_class), "h", "tf", "z"]
     kind = dict(rows.dtypes)["doc_id"]
-    parts = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id {kind}, uid long, held_out boolean, n_tokens long, n_known long, base_score double, score double, h long, tf long, z double")
-    tail = counts.where(F.col("c") * HEAVY < n).select("h", "c")
+    scores = ", ".join(f"s{i} double" for i in each_class)
+    parts = rows.drop("l").withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id {kind}, uid long, held_out boolean, n_tokens long, n_known long, base_score double, {scores}, h long, tf long, z double")
+    tail = counts.where(F.col("c") * HEAVY < n).select("h", "c", "cs")
     c = F.coalesce("c", F.lit(0))
-    each = parts.join(tail, "h", "left").withColumn("n_known", F.coalesce("n_known", F.when(c > 0, F.col("tf")).otherwise(0))).withColumn("base_score", F.coalesce("base_score", F.col("tf") * (F.log10(c + 0.5) - F.lit(float(bottom)))))
-    arcs = F.when(c > 0, F.log10(F.lit(arc) * c + F.pow(F.lit(10.0), F.greatest(F.lit(other) + F.col("z"), F.lit(-300.0))))).otherwise(F.lit(other) + F.col("z"))
-    each = each.withColumn("score", F.coalesce("score", F.col("tf") * arcs))
+    each = parts.join(tail, "h", "left").withColumn("n_known", F.coalesce("n_known", F.when(c > 0, F.col("tf")).otherwise(0))).withColumn("base_score", F.coalesce("base_score", F.col("tf") * (F.log10(c + 0.5) - F.lit(bottom))))
+    each = each.withColumn("pieces", F.lit(other) + F.col("z")).withColumn("low", F.pow(F.lit(10.0), F.greatest("pieces", F.lit(-300.0))) + F.lit(arc) * c)
+    for i in each_class:
+        own = F.get("cs", F.lit(i)) if i < len(common) else c
+        each = each.withColumn(f"s{i}", F.coalesce(f"s{i}", F.col("tf") * F.when(c > 0, F.log10(F.lit(arcs[i]) * own + F.col("low"))).otherwise(F.col("pieces"))))
     one = lambda c: F.max(c).alias(c)
-    return each.groupBy("uid").agg(one("doc_id"), one("held_out"), one("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).drop("uid")
+    done = each.groupBy("uid").agg(one("doc_id"), one("held_out"), one("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), *(F.sum(f"s{i}").alias(f"s{i}") for i in each_class))
+    full = [F.col(f"s{i}") + F.lit(float(prior[i])) for i in each_class]
+    top = F.greatest(*full) if len(full) > 1 else full[0]
+    score = top + F.log10(sum((F.pow(F.lit(10.0), F.greatest(x - top, F.lit(-300.0))) for x in full), F.lit(0.0)))
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"))
