@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from ..functions import geometry as G
 from ..functions import text as T
 from . import layout, spans
 
@@ -33,5 +37,52 @@ def missed(entities: DataFrame, gold: DataFrame, page: str) -> DataFrame:
     return entities.join(gold.select(page, "ei"), [page, "ei"], "left_anti")
 
 
-def first_rank(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")
+def align(said: str, true: str) -> list[int]:
+    """For each character of said, its place in true (-1: none); blocks that differ are spread in proportion."""
+    out = [-1] * len(said)
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, said, true, autojunk=False).get_opcodes():
+        if tag in ("equal", "replace") and j2 > j1:
+            for k in range(i2 - i1):
+                out[i1 + k] = j1 + min(k if tag == "equal" else int(k * (j2 - j1) / max(1, i2 - i1)), j2 - j1 - 1)
+    return out
+
+
+_SPAN = StructType([StructField("ei", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+
+
+@F.udf(ArrayType(_SPAN), useArrow=True)
+def _lined(said, words):
+    """Entity spans over a recognised line, from its true words (text, ei) in order."""
+    true = " ".join(w["text"] for w in words)
+    owner = [e for k, w in enumerate(words) for e in [w["ei"]] * len(w["text"]) + ([w["ei"] if k + 1 < len(words) and words[k + 1]["ei"] == w["ei"] else None] if k + 1 < len(words) else [])]
+    tagged = [owner[j] if j >= 0 else None for j in align(said, true)]
+    out, at = [], 0
+    while at < len(said):
+        to = at + 1
+        while to < len(said) and tagged[to] == tagged[at]:
+            to += 1
+        if tagged[at] is not None:
+            a, z = at, to
+            while a > 0 and not said[a - 1].isspace() and tagged[a - 1] is None:
+                a -= 1
+            while z < len(said) and not said[z].isspace() and tagged[z] is None:
+                z += 1
+            out.append((tagged[at], a, z))
+        at = to
+    return out
+
+
+def transfer_lines(lines: DataFrame, words: DataFrame, entities: DataFrame, page: str, share: float = 0.3, half: float = 0.5) -> DataFrame:
+    """As transfer, for segments that are whole lines: each true word goes to the line that holds most of its area, one that
+    contains its text first; line and words are aligned by characters. Rows: page, si, ei, start, end, ocr."""
+    pairs = layout.overlap_pairs(words.select(page, "wi", "x0", "y0", "x1", "y1"), lines.select(page, "si", "x0", "y0", "x1", "y1"), page)
+    held = G.intersection(G.Box.of("l_"), G.Box.of("r_")) / G.Box.of("l_").area_or_one()
+    c = pairs.select(page, F.col("l_wi").alias("wi"), F.col("r_si").alias("si"), held.alias("ov")).where(F.col("ov") >= share)
+    c = c.join(words.select(page, "wi", F.col("text").alias("word")), [page, "wi"]).join(lines.select(page, "si", F.col("text").alias("line")), [page, "si"])
+    c = c.withColumn("has", F.contains(T.loose(F.col("line")), T.loose(F.col("word"))))
+    w = Window.partitionBy(page, "wi").orderBy(F.desc("has"), F.desc("ov"), F.desc("si"))
+    best = c.withColumn("__r", F.row_number().over(w)).where("__r = 1").where(F.col("has") | (F.col("ov") >= half))
+    tagged = best.join(entity_of_words(words, entities, page), [page, "wi"], "left")
+    joined = tagged.groupBy(page, "si", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("wi", "word", "ei"))), lambda x: F.struct(x["word"].alias("text"), x["ei"].cast("bigint").alias("ei"))).alias("w"))
+    spans_ = joined.select(page, "si", "line", F.explode(_lined("line", "w")).alias("s"))
+    return spans_.select(page, "si", "s.*", F.substr("line", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("ocr"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checksums
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import decode, layout, review, rules, sampling, scoring, spans, transfer
+from ..operators import decode, layout, matching, review, rules, sampling, scoring, spans, transfer
 from . import oracles
 from .fixtures import BOXES, IDS, SPANS, TRUTHS, fixture, table
 
@@ -462,3 +462,60 @@ def transfer_words(spark, sf):
     g = transfer.transfer(seg, t, ent, "page")
     return g.select("page", "ei", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "ocr", F.round("cer", 9).alias("cer"))
 
+
+
+@query
+def greedy_match(spark, sf):
+    m = matching.greedy_match(fixture(spark, sf, BOXES), fixture(spark, sf, TRUTHS), "page", 0.3)
+    return m.select("page", "label", "pred", "gt", F.round("iou", 9).alias("iou"))
+
+
+@query
+def e2e_report(spark, sf):
+    """Items fully hidden and pages without a leak, by label, by part of the pages, and over all."""
+    c = coverage(spark, sf).join(fixture(spark, sf, TRUTHS).select("page", "ord", "label"), ["page", "ord"]).withColumn("part", F.col("page") % 4)
+    hidden = F.col("coverage") >= 0.9
+    m = {"items": F.count("*"), "hidden": F.count(F.when(hidden, 1)), "leaky_pages": F.countDistinct(F.when(~hidden, F.col("page")))}
+    return scoring.report(c, [[], ["label"], ["part"]], m).select("label", "part", *m)
+
+
+@query
+def over_redaction(spark, sf):
+    """Bar area off the truths, by page: the area of both less that of the truths; null is no bar."""
+    ints = lambda d: d.select("page", *(F.floor(c).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    bars, truths = ints(fixture(spark, sf, BOXES)), ints(fixture(spark, sf, TRUTHS))
+    a = layout.union_area(bars.unionByName(truths), "page").withColumnRenamed("area", "both")
+    b = layout.union_area(truths, "page").withColumnRenamed("area", "true_area")
+    drawn = layout.union_area(bars, "page").withColumnRenamed("area", "drawn")
+    off = F.col("both") - F.coalesce("true_area", F.lit(0))
+    return a.join(b, "page", "left").join(drawn, "page", "left").select("page", off.alias("off"), F.round(F.coalesce(F.try_divide(off, F.col("drawn")), F.lit(0.0)), 9).alias("share"))
+
+
+@query
+def ablation_grid(spark, sf):
+    """Items hidden at each of three coverage thresholds: configurations crossed with the scored items."""
+    grid = spark.range(3).select((F.col("id") * 0.25 + 0.45).alias("threshold"))
+    return coverage(spark, sf).crossJoin(F.broadcast(grid)).groupBy("threshold").agg(F.count(F.when(F.col("coverage") >= F.col("threshold"), 1)).alias("hidden"), F.count("*").alias("items"))
+
+
+@query
+def transfer_lines(spark, sf):
+    t = fixture(spark, sf, TRUTHS)
+    words = t.select("page", F.col("ord").alias("wi"), (F.col("ord") * 6).cast("int").alias("start"), (F.col("ord") * 6 + 5).cast("int").alias("end"), F.concat(F.lit("word"), "ord").alias("text"), "x0", "y0", "x1", "y1")
+    lines = fixture(spark, sf, BOXES).select("page", F.col("ord").alias("si"), F.concat(F.lit("a w0rd"), "ord", F.lit(" b")).alias("text"), "x0", "y0", "x1", "y1")
+    ent = t.where("ord % 2 = 1").select("page", F.col("ord").alias("ei"), (F.col("ord") * 6).cast("int").alias("start"), (F.col("ord") * 6 + 11).cast("int").alias("end"))
+    return transfer.transfer_lines(lines, words, ent, "page")
+
+
+@query
+def span_index(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", matching.span_index(F.least(F.length("text"), F.lit(50)), 12).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.filter("s", lambda x: x["inside"])).cast("long").alias("inside"))
+
+
+@query
+def verdict(spark, sf):
+    """Whether a change is kept: no part loses over 0.002 of found items, and none draws more."""
+    r = pii_report(spark, sf).where("part is not null").select("part", "rate")
+    after = r.withColumn("rate_b", F.col("rate") - F.when(F.col("part") == 2, 0.001).otherwise(0.0))
+    return after.agg(F.bool_and(F.col("rate_b") - F.col("rate") >= -0.002).alias("keep"), F.count("*").alias("parts"))

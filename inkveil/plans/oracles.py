@@ -220,6 +220,18 @@ def all_sql() -> dict[str, str]:
             FROM (SELECT * FROM o WHERE source = 'a') a FULL JOIN (SELECT * FROM o WHERE source = 'b') b ON a.page = b.page AND a.label = b.label AND a.value = b.value AND a.k = b.k""",
         "contain_join": f"""SELECT a.page, a.ord AS wi, max(b.ord) AS ei FROM {_spans} a JOIN {_spans} b ON a.page = b.page AND a.source = 'a' AND b.source = 'b' AND a."start" >= b."start" AND a."end" <= b."end" GROUP BY ALL""",
     }
+    both = f"(SELECT page, x0, y0, x1, y1 FROM {_INT_BOXES} UNION ALL SELECT page, x0, y0, x1, y1 FROM {_INT_TRUTHS})"
+    out |= {
+        "e2e_report": f"SELECT label, part, count(*) AS items, count(*) FILTER (coverage >= 0.9) AS hidden, count(DISTINCT page) FILTER (coverage < 0.9) AS leaky_pages FROM (SELECT c.page, c.coverage, t.label, c.page % 4 AS part FROM ({out['coverage']}) c JOIN {_truths} t ON c.page = t.page AND c.ord = t.ord) GROUP BY GROUPING SETS ((), (label), (part))",
+        "ablation_grid": f"SELECT threshold, count(*) FILTER (coverage >= threshold) AS hidden, count(*) AS items FROM ({out['coverage']}), (SELECT i * 0.25::DOUBLE + 0.45::DOUBLE AS threshold FROM range(3) AS r(i)) GROUP BY threshold",
+        "over_redaction": f"SELECT page, a.area - coalesce(b.area, 0) AS off, round(coalesce((a.area - coalesce(b.area, 0)) / nullif(d.area, 0), 0), 9) AS share FROM {_area(both, 'page')} a LEFT JOIN {_area(_INT_TRUTHS, 'page')} b USING (page) LEFT JOIN {_area(_INT_BOXES, 'page')} d USING (page)",
+        "span_index": "SELECT doc_id, n * 12 AS n, list_sum(list_transform(range(0, n), lambda i: least(12, n - i)))::BIGINT AS inside FROM (SELECT doc_id, least(length(text), 50) AS n FROM documents)",
+        "verdict": f"SELECT bool_and((rate - CASE WHEN part = 2 THEN 0.001 ELSE 0 END) - rate >= -0.002) AS keep, count(*) AS parts FROM ({out['pii_report']}) WHERE part IS NOT NULL",
+        "greedy_match": f"""WITH RECURSIVE c AS MATERIALIZED (SELECT b.page, b.label, b.ord AS pred, t.ord AS gt, {_iou('b', 't')} AS iou, row_number() OVER (PARTITION BY b.page, b.label ORDER BY -b.score, b.ord, -({_iou('b', 't')}), t.ord) AS rn FROM {_boxes} b JOIN {_truths} t ON b.page = t.page AND b.label = t.label AND {_iou('b', 't')} >= 0.3),
+            w AS (SELECT page, label, rn, [struct_pack(pred := pred, gt := gt, iou := iou)] AS kept FROM c WHERE rn = 1
+                UNION ALL SELECT c.page, c.label, c.rn, CASE WHEN len(list_filter(w.kept, lambda k: k.pred = c.pred OR k.gt = c.gt)) > 0 THEN w.kept ELSE list_append(w.kept, struct_pack(pred := c.pred, gt := c.gt, iou := c.iou)) END FROM w JOIN c ON c.page = w.page AND c.label = w.label AND c.rn = w.rn + 1)
+            SELECT page, label, m.pred AS pred, m.gt AS gt, round(m.iou, 9) AS iou FROM (SELECT page, label, unnest(arg_max(kept, rn)) AS m FROM w GROUP BY page, label)""",
+    }
     for label in _PATTERNS:
         out["rx_" + label.lower()] = f'SELECT id, "start", "end", value FROM ({_matches(_ids, label)})'
     merged = " UNION ALL ".join(f"SELECT page, label, \"start\", \"end\", score FROM {_merged(f'(SELECT * FROM {_spans} WHERE source = ' + chr(39) + v + chr(39) + ')')}" for v in "ab")

@@ -5,13 +5,14 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions import checksums, labels, registry, synth
 from inkveil.functions import geometry as G
 from inkveil.functions import text as T
-from inkveil.operators import decode, layout, models, review, rules, sampling, scoring, spans
+from inkveil.operators import decode, imaging, layout, matching, models, review, rules, sampling, scoring, spans, transfer
 from inkveil.plans import catalog
 from inkveil.sources import records
 from inkveil.streaming import incremental
@@ -182,6 +183,39 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(str, batch.select(*spark.read.parquet(f"{tmp_path}/out").columns).collect()))
 
 
+def test_imaging():
+    src = np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float)
+    dst = np.array([(1, 2), (12, 1), (13, 14), (0, 11)], float)
+    h = imaging.homography(src, dst)
+    assert np.allclose(imaging.warp(h, src), dst) and imaging.warp_box(h, (0, 0, 10, 10), 100, 100) == pytest.approx([0, 1, 13, 14])
+    mask = np.array([[1, 1, 0, 1], [0, 1, 0, 1], [1, 0, 0, 1], [1, 1, 1, 1]], bool)
+    label, n = imaging.components4(mask)
+    assert n == 2 and label.tolist() == [[1, 1, 0, 2], [0, 1, 0, 2], [2, 0, 0, 2], [2, 2, 2, 2]]
+    assert [r["size"] for r in imaging.region_stats(label, n, np.ones((4, 4)), least=5)] == [8]
+    w, d, _ = imaging.min_area_rect(np.array([(0, 0), (3, 3), (2, 4), (-1, 1), (1, 2)]))
+    assert sorted((w, d)) == pytest.approx([2**0.5, 18**0.5])
+    page = np.full((60, 60), 250, np.uint8)
+    page[25:30, 25:35] = 20
+    assert imaging.ink(page, (20, 20, 40, 40)).sum() == 50
+    assert imaging.contrast(np.array([[0, 255]])).tolist() == [[0, 255]]
+
+
+def test_matching_and_lines(spark):
+    seg = "page int, segments array<struct<text:string,bbox:array<double>,score:double>>"
+    a = spark.createDataFrame([(1, [("x", [0.0], 0.5), ("y", [1.0], 0.5)])], seg)
+    b = spark.createDataFrame([(1, [("x", [0.0], 0.7)])], seg)
+    r = matching.parity(a, b, "page").first()
+    assert (r.n, r.same_text, r.same_box, round(r.max_diff, 6)) == (2, 1, 1, 0.2)
+    taken = F.array(F.struct(F.lit(0).alias("start"), F.lit(12).alias("end")))
+    found = column(spark, ["Meena Sharma and meena sharma."], lambda c: matching.occurrences(c, "Meena Sharma", taken))[0]
+    assert [(m.start, m.end) for m in found] == [(17, 29)]
+    words = [(1, i, t, s, s + len(t), float(s) * 8, 0.0, float(s + len(t)) * 8, 10.0) for i, (t, s) in enumerate((("Name:", 0), ("Ravi", 6), ("Kumar", 11), ("age", 17), ("41", 21)))]
+    w = spark.createDataFrame(words, "page int, wi int, text string, start int, end int, x0 double, y0 double, x1 double, y1 double")
+    line = spark.createDataFrame([(1, 0, "Narne: Ravi Kurnar age 41", 0.0, 0.0, 184.0, 10.0)], "page int, si int, text string, x0 double, y0 double, x1 double, y1 double")
+    e = spark.createDataFrame([(1, 0, 6, 16), (1, 1, 21, 23)], "page int, ei int, start int, end int")
+    assert sorted((r.ei, r.ocr) for r in transfer.transfer_lines(line, w, e, "page").collect()) == [(0, "Ravi Kurnar"), (1, "41")]
+
+
 def test_catalog_has_sql():
     missing = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert missing <= {"substring_distance", "python_round", "reading_order_tilt", "hash_split", "transfer_words"}
+    assert missing <= {"substring_distance", "python_round", "reading_order_tilt", "hash_split", "transfer_words", "transfer_lines"}
