@@ -121,7 +121,7 @@ def word_scores(model: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndar
     can = model["scripts"][_script(data, starts)]
     s[~can & can.any(1, keepdims=True)] = -2 * FLOOR
     s[~can.any(1)] = -np.log(m)  # no language has this script: no evidence
-    return s
+    return s.astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, bound: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -136,7 +136,7 @@ def viterbi(scores: np.ndarray, bound: np.ndarray, switch: float = SWITCH) -> np
     active = len(length) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), side="right")
     back = np.empty((n, m), np.int8 if m < 128 else np.int32)
     own = np.arange(m)
-    v, final = None, np.zeros((len(length), m))
+    v, final = None, np.zeros((len(length), m), scores.dtype)
     for t, k in enumerate(active):
         at = first[:k] + t
         if v is None:
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", prefix: str = "la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in B.slices(batch, text, 4 * B.CHUNK):
+            for part in B.slices(batch, text, 2 * B.CHUNK):
                 yield pa.RecordBatch.from_arrays([*part.columns, *predict(shared.value, part.column(text), switch)], names=[*keep, *names])
 
     return rows.mapInArrow(run, extended(rows.schema, f"{names[0]} string, {names[1]} double, {names[2]} array<struct<lang:string,start:bigint,end:bigint>>"))
