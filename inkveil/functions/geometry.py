@@ -98,3 +98,26 @@ def rotated(a: Box, cx: Column, cy: Column, degrees: Column, width: Column, heig
         ys.append(cy + (x - cx) * F.sin(r) + (y - cy) * F.cos(r))
     clip = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most))
     return [clip(F.least(*xs), width), clip(F.least(*ys), height), clip(F.greatest(*xs), width), clip(F.greatest(*ys), height)]
+
+
+def unletterbox(a: Box, width: Column, height: Column, side: int = 1024) -> list[Column]:
+    """A box of the letterboxed image in the page's pixels, clipped to the page."""
+    p = letterbox(width, height, side)
+    clip = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most))
+    return [clip((a.x0 - p["left"]) / p["gain"], width), clip((a.y0 - p["top"]) / p["gain"], height), clip((a.x1 - p["left"]) / p["gain"], width), clip((a.y1 - p["top"]) / p["gain"], height)]
+
+
+def of_polygon(xs: Column, ys: Column) -> list[Column]:
+    """The box of a polygon's corners, cut to whole pixels toward zero."""
+    return [F.array_min(xs).cast("int"), F.array_min(ys).cast("int"), F.array_max(xs).cast("int"), F.array_max(ys).cast("int")]
+
+
+def warped(a: Box, h: list[float], width: Column, height: Column) -> list[Column]:
+    """The box around a box's corners under a homography (nine numbers by rows), in the page."""
+    xs, ys = [], []
+    for x, y in ((a.x0, a.y0), (a.x1, a.y0), (a.x1, a.y1), (a.x0, a.y1)):
+        w = h[6] * x + h[7] * y + h[8]
+        xs.append((h[0] * x + h[1] * y + h[2]) / w)
+        ys.append((h[3] * x + h[4] * y + h[5]) / w)
+    clip = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most))
+    return [clip(F.least(*xs), width), clip(F.least(*ys), height), clip(F.greatest(*xs), width), clip(F.greatest(*ys), height)]

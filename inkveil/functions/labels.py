@@ -24,3 +24,15 @@ def to_code(name: Column) -> Column:
 def to_name(code: Column) -> Column:
     known = F.create_map(*map(F.lit, chain.from_iterable(NAMES.items())))
     return F.coalesce(F.try_element_at(known, code), code)
+
+
+#: Groups of labels in the review; other labels are of the group manual.
+GROUPS = {
+    "ids": ("AADHAAR", "PAN", "GSTIN", "IFSC", "BANK_ACCOUNT", "UPI_ID", "VOTER_ID", "PASSPORT", "VEHICLE_REG", "UAN", "ABHA", "EMPLOYEE_ID", "MRN"),
+    "people": ("PERSON_NAME", "DOB", "GENDER"), "contact": ("PHONE", "EMAIL", "ADDRESS"), "visual": ("FACE", "SIGNATURE", "QR_CODE", "STAMP"),
+}
+
+
+def group_of(code: Column) -> Column:
+    known = F.create_map(*map(F.lit, chain.from_iterable((c, g) for g, codes in GROUPS.items() for c in codes)))
+    return F.coalesce(F.try_element_at(known, code), F.lit("manual"))

@@ -144,7 +144,7 @@ def safe_filename(text: Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit("–"))
+    return F.when(value.isNull(), "–").otherwise(F.format_string("%.1f%%", value * 100))
 
 
 @F.udf(DoubleType(), useArrow=True)
@@ -152,3 +152,24 @@ def python_round(value, digits):
     """Rounding of the exact binary value, ties to even."""
     return None if value is None else round(value, digits)
 
+
+def is_punct(text: Column) -> Column:
+    """Whether all characters are punctuation or symbols; true for an empty text."""
+    return text.rlike(r"^[\p{P}\p{S}]*\z")
+
+
+def snapped(text: Column, start: Column, end: Column) -> list[Column]:
+    """A span grown to whole white-space words."""
+    left = F.regexp_extract(F.substr(text, F.lit(1), start), rf"[^{WS}]*\z", 0)
+    right = F.regexp_extract(F.substr(text, end + 1), f"^[^{WS}]*", 0)
+    return [start - F.length(left), end + F.length(right)]
+
+
+def trim_outer(value: Column, true: Column) -> list[Column]:
+    """A value without the outer punctuation that the true value does not have at the same edge: (characters dropped
+    before it, value)."""
+    openers = F.replace(F.lit("([{\"'"), F.left(true, F.lit(1)), F.lit(""))
+    tail = F.rtrim(value, F.replace(F.lit(",;:)]}\"'"), F.right(true, F.lit(1)), F.lit("")))
+    head = F.ltrim(tail, openers)
+    bare = F.when(F.endswith(head, F.lit(".")) & ~F.endswith(true, F.lit(".")), F.left(head, F.length(head) - 1)).otherwise(head)
+    return [F.length(tail) - F.length(head), bare]

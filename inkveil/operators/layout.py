@@ -134,3 +134,56 @@ def tilted_order(segments: DataFrame, *keys: str) -> DataFrame:
     first lines taken out. One row for each segment: keys, ord, line, pos."""
     pages = segments.groupBy(*keys).agg(F.collect_list(F.struct("ord", "x0", "y0", "x1", "y1")).alias("s"))
     return pages.select(*keys, F.explode(_tilted("s")).alias("r")).select(*keys, "r.*")
+
+
+def covering(words: DataFrame, segments: DataFrame, page: str, least: float = 0.5) -> DataFrame:
+    """The segments that cover at least a share of each word (wi), from the top left: page, wi, ords, text. Words that
+    nothing covers are left out."""
+    pairs = overlap_pairs(words.select(page, "wi", "x0", "y0", "x1", "y1"), segments.select(page, "ord", "text", "x0", "y0", "x1", "y1"), page)
+    area = G.Box.of("l_").area()
+    held = pairs.where(G.intersection(G.Box.of("l_"), G.Box.of("r_")) >= least * F.when(area == 0, 1.0).otherwise(area))
+    hits = held.groupBy(page, F.col("l_wi").alias("wi")).agg(F.array_sort(F.collect_list(F.struct("r_y0", "r_x0", "r_ord", "r_text"))).alias("h"))
+    return hits.select(page, "wi", F.transform("h", lambda s: s["r_ord"]).alias("ords"), F.array_join(F.transform("h", lambda s: s["r_text"]), " ").alias("text"))
+
+
+def assembled(lines: DataFrame, *keys: str) -> DataFrame:
+    """Where each word stands in its page's text: words of a line joined by a space, lines by a line break. lines: keys,
+    line, place (in the line), text; added: start, end."""
+    w = Window.partitionBy(*keys).orderBy("line", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("text") + 1).over(w) - 1
+    return lines.withColumn("end", end).withColumn("start", F.col("end") - F.length("text"))
+
+
+@F.udf(ArrayType(StructType([StructField("ord", LongType()), StructField("line", LongType()), StructField("part", LongType())])), useArrow=True)
+def _grouped(rows, off, tall, wide):
+    rows = sorted(((r["y0"] + r["y1"]) / 2, r["ord"], r["x0"], r["x1"], r["y1"] - r["y0"]) for r in rows)
+    lines, out, centres, heights = [], [], 0.0, 0.0  # plain sums, in order: sum() would compensate
+    for r in rows:
+        n = len(lines[-1]) if lines else 0
+        if n and abs(centres / n - r[0]) < off * (heights / n):
+            lines[-1].append(r)
+            centres, heights = centres + r[0], heights + r[4]
+        else:
+            lines.append([r])
+            centres, heights = r[0], r[4]
+    for k, line in enumerate(lines):
+        part, n, high, right = -1, 0, 0.0, 0.0
+        for r in sorted(line, key=lambda q: q[2]):
+            if n and abs(high / n - r[4]) < tall * (high / n) and r[2] - right < wide * r[4]:
+                n, high = n + 1, high + r[4]
+            else:
+                part, n, high = part + 1, 1, r[4]
+            right = r[3]
+            out.append((r[1], k, part))
+    return out
+
+
+def grouped_boxes(boxes: DataFrame, *keys: str, off: float = 0.5, tall: float = 0.5, wide: float = 0.5, margin: float = 0.1) -> DataFrame:
+    """Upright detector boxes as text lines: a box joins a line by its centre and the running means of it, then neighbours
+    of like height and little gap become one box with a margin. Rows: keys, line, part, n, x0, y0, x1, y1."""
+    c = ("x0", "y0", "x1", "y1")
+    held = boxes.groupBy(*keys).agg(F.collect_list(F.struct("ord", *c)).alias("b"))
+    each = held.select(*keys, F.explode(_grouped("b", F.lit(off), F.lit(tall), F.lit(wide))).alias("g")).select(*keys, "g.*")
+    g = each.join(boxes.select(*keys, "ord", *c), [*keys, "ord"]).groupBy(*keys, "line", "part").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    m = (margin * F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).cast("int")
+    return g.select(*keys, "line", "part", "n", (F.col("x0") - m).alias("x0"), (F.col("y0") - m).alias("y0"), (F.col("x1") + m).alias("x1"), (F.col("y1") + m).alias("y1"))

@@ -39,7 +39,7 @@ def occurrences(text: Column, needle: str, taken: Column, least: int = 3) -> Col
 
     if len(re.sub(r"[\s\-.,:;]+", "", needle)) < least:
         return F.array().cast("array<struct<start:int,end:int,text:string>>")
-    found = T.find_all(text, "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", needle))
+    found = T.find_all(text, re.sub(r"([^\w\s])", r"\\\1", needle.strip()))
     return F.filter(found, lambda m: ~F.exists(taken, lambda t: (t["start"] < m["end"]) & (m["start"] < t["end"])))
 
 

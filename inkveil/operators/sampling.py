@@ -35,3 +35,27 @@ def weighted(u: Column, weights: dict[str, float]) -> Column:
         at += w / total
         out = F.when(u < at, value) if out is None else out.when(u < at, value)
     return out.otherwise(list(weights)[-1])
+
+
+def diverse_first(rows: DataFrame, key: str, cls: str, n: int) -> DataFrame:
+    """The n keys with most classes, equal ones by key: key, n_classes."""
+    return rows.groupBy(key).agg(F.countDistinct(cls).alias("n_classes")).orderBy(F.desc("n_classes"), key).limit(n)
+
+
+def quota(rows: DataFrame, source: str, page: str, per_source: int) -> DataFrame:
+    """Whole pages of each source, in order, until a page reaches the quota of rows."""
+    counts = rows.groupBy(source, page).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(source).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    kept = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).where(F.col("__before") < per_source)
+    return rows.join(kept.select(source, page), [source, page], "left_semi")
+
+
+def splits(meta: DataFrame, outer: str, inner: str, key: str, rare: Column, order: Column, n_bench: int, n_val: int, n_train: int) -> DataFrame:
+    """Disjoint benchmark and validation (each up to n per outer stratum, in turn from its inner strata) and training rows
+    (rare ones first): key, split."""
+    bench = round_robin(meta, outer, inner, key, n_bench, order).select(key)
+    rest = meta.join(bench, key, "left_anti")
+    val = round_robin(rest, outer, inner, key, n_val, -order).select(key)
+    train = rare_first(rest.join(val, key, "left_anti"), rare, order, key, n_train).select(key)
+    named = lambda d, s: d.withColumn("split", F.lit(s))
+    return named(bench, "bench").unionByName(named(val, "val")).unionByName(named(train, "train"))

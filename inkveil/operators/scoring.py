@@ -56,3 +56,28 @@ def exists_match(pred: DataFrame, truth: DataFrame, page: str, label: str, item:
 def choose_variant(rows: DataFrame, least: float) -> DataFrame:
     """The smallest variant that agrees enough; else the one that agrees most."""
     return rows.agg(F.coalesce(F.min_by("variant", F.when(F.col("agreement") >= least, F.col("mb"))), F.max_by("variant", "agreement")).alias("variant"), F.coalesce(F.bool_or(F.col("agreement") >= least), F.lit(False)).alias("passed"))
+
+
+def compared(outcomes: DataFrame, page: str, engine: str, part: str, n: int, measures: dict[str, Column]) -> DataFrame:
+    """Measures of each engine, by part and over all parts (null), over the pages that all n engines have."""
+    common = outcomes.groupBy(page).agg(F.countDistinct(engine).alias("__n")).where(F.col("__n") == n).select(page)
+    return report(outcomes.join(common, page, "left_semi"), [[engine], [engine, part]], measures).drop("grouping_id")
+
+
+def visual_report(truths: DataFrame, matches: DataFrame, preds: DataFrame, label: str) -> DataFrame:
+    """By class and over all (null): truths (full, detected), predictions, one-to-one matches and their ratios."""
+    t = truths.select(label, F.lit(1).alias("n"), F.col("full").cast("int").alias("full"), F.col("detected").cast("int").alias("det"), F.lit(0).alias("preds"), F.lit(0).alias("tp"))
+    zero = [F.lit(0).alias(c) for c in ("n", "full", "det")]
+    p = preds.select(label, *zero, F.lit(1).alias("preds"), F.lit(0).alias("tp"))
+    m = matches.select(label, *zero, F.lit(0).alias("preds"), F.lit(1).alias("tp"))
+    counts = {c: F.sum(c) for c in ("n", "full", "det", "preds", "tp")}
+    r = report(t.unionByName(p).unionByName(m), [[], [label]], counts).drop("grouping_id")
+    ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    return r.withColumn("fully_redacted", ratio("full", "n")).withColumn("detected", ratio("det", "n")).withColumn("precision", ratio("tp", "preds"))
+
+
+def report_diff(before: DataFrame, after: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Measures of two reports side by side, and their differences; rows of the first alone stay."""
+    a = before.select(*keys, *(F.col(m).alias(m + "_a") for m in measures))
+    b = after.select(*keys, *(F.col(m).alias(m + "_b") for m in measures))
+    return a.join(b, keys, "left").select(*keys, *(c for m in measures for c in (F.col(m + "_a"), F.col(m + "_b"), (F.col(m + "_b") - F.col(m + "_a")).alias(m + "_d"))))

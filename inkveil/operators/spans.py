@@ -68,3 +68,28 @@ def score_positions(pages: DataFrame, pred: str, gold: str) -> DataFrame:
     positions = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(c, lambda s: s["end"] > s["start"]), lambda s: F.sequence(s["start"], s["end"] - 1))))
     p, g = positions(F.col(pred)), positions(F.col(gold))
     return pages.withColumn("gold_chars", F.size(g)).withColumn("gold_cov", F.size(F.array_intersect(g, p))).withColumn("pred_chars", F.size(p)).withColumn("pred_bad", F.size(F.array_except(p, g)))
+
+
+def rank_runs(words: DataFrame, by: list[str], rank: str) -> DataFrame:
+    """Members with neighbouring ranks form a run: by, run (smallest rank), last, n."""
+    at = Window.partitionBy(*by).orderBy(rank)
+    run = words.withColumn("__g", F.col(rank) - F.row_number().over(at))
+    return run.groupBy(*by, "__g").agg(F.min(rank).alias("run"), F.max(rank).alias("last"), F.count("*").alias("n")).drop("__g")
+
+
+def joined_over_space(spans: DataFrame, by: list[str], text: str) -> DataFrame:
+    """Spans of one key with nothing but white space between them become one: by, start, end."""
+    from ..functions.text import strip
+
+    w = Window.partitionBy(*by).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.when(before < F.col("start"), strip(F.substr(text, before + 1, F.col("start") - before))).otherwise("")
+    marked = spans.withColumn("__new", F.coalesce((before.isNull() | (gap != "")).cast("int"), F.lit(1)))
+    runs_ = marked.withColumn("__g", F.sum("__new").over(w))
+    return runs_.groupBy(*by, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
+
+
+def readable(windows: Column, bad: Column) -> Column:
+    """Windows (start, end) that no end of a bad token span (first, last) lies in."""
+    ends = lambda w, x: (w["start"] <= x) & (x < w["end"])
+    return F.filter(windows, lambda w: ~F.exists(bad, lambda b: ends(w, b["first"]) | ends(w, b["last"])))

@@ -11,7 +11,7 @@ from ..functions import checksums
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import decode, layout, matching, review, rules, sampling, scoring, spans, transfer
-from . import oracles
+from . import oracles, toolkit
 from .fixtures import BOXES, IDS, SPANS, TRUTHS, fixture, table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,11 @@ def query(f):
 
 
 def queries() -> dict:
-    return dict(_queries)
+    return _queries | toolkit.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.all_sql().items() if k in _queries}
+    return {k: v for k, v in oracles.all_sql().items() if k in _queries} | toolkit.sql
 
 
 # Text
@@ -503,8 +503,9 @@ def transfer_lines(spark, sf):
     t = fixture(spark, sf, TRUTHS)
     words = t.select("page", F.col("ord").alias("wi"), (F.col("ord") * 6).cast("int").alias("start"), (F.col("ord") * 6 + 5).cast("int").alias("end"), F.concat(F.lit("word"), "ord").alias("text"), "x0", "y0", "x1", "y1")
     lines = fixture(spark, sf, BOXES).select("page", F.col("ord").alias("si"), F.concat(F.lit("a w0rd"), "ord", F.lit(" b")).alias("text"), "x0", "y0", "x1", "y1")
-    ent = t.where("ord % 2 = 1").select("page", F.col("ord").alias("ei"), (F.col("ord") * 6).cast("int").alias("start"), (F.col("ord") * 6 + 11).cast("int").alias("end"))
-    return transfer.transfer_lines(lines, words, ent, "page")
+    ent = t.where("ord % 2 = 1").select("page", F.col("ord").alias("ei"), (F.col("ord") * 6).cast("int").alias("start"), (F.col("ord") * 6 + 11).cast("int").alias("end"), F.concat(F.lit("word"), "ord").alias("text"))
+    g = transfer.transfer_lines(lines, words, ent, "page")
+    return g.select("page", "ei", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "ocr", F.round("cer", 9).alias("cer"))
 
 
 @query

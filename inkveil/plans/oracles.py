@@ -232,6 +232,17 @@ def all_sql() -> dict[str, str]:
                 UNION ALL SELECT c.page, c.label, c.rn, CASE WHEN len(list_filter(w.kept, lambda k: k.pred = c.pred OR k.gt = c.gt)) > 0 THEN w.kept ELSE list_append(w.kept, struct_pack(pred := c.pred, gt := c.gt, iou := c.iou)) END FROM w JOIN c ON c.page = w.page AND c.label = w.label AND c.rn = w.rn + 1)
             SELECT page, label, m.pred AS pred, m.gt AS gt, round(m.iou, 9) AS iou FROM (SELECT page, label, unnest(arg_max(kept, rn)) AS m FROM w GROUP BY page, label)""",
     }
+    inter = "greatest(0.0, least(s.x1, t.x1) - greatest(s.x0, t.x0)) * greatest(0.0, least(s.y1, t.y1) - greatest(s.y0, t.y0))"
+    out["transfer_words"] = f"""WITH p AS (SELECT s.page, s.ord AS si, t.ord AS wi, ({inter}) / greatest(1.0, (s.x1 - s.x0) * (s.y1 - s.y0)) AS share FROM {_boxes} s JOIN {_truths} t ON s.page = t.page AND {inter} > 0),
+        b AS (SELECT page, si, wi FROM (SELECT *, row_number() OVER (PARTITION BY page, si ORDER BY share DESC, wi) AS r FROM p WHERE share >= 0.5) WHERE r = 1),
+        g AS (SELECT s.page, s.ord AS si, max(e.ord) AS ei FROM {_boxes} s LEFT JOIN b ON b.page = s.page AND b.si = s.ord LEFT JOIN {_truths} e ON e.page = s.page AND e.ord % 4 = 1 AND b.wi BETWEEN e.ord AND e.ord + 2 GROUP BY ALL),
+        r AS (SELECT *, sum(c) OVER (PARTITION BY page ORDER BY si) AS run FROM (SELECT *, CASE WHEN ei IS DISTINCT FROM lag(ei) OVER (PARTITION BY page ORDER BY si) THEN 1 ELSE 0 END AS c FROM g)),
+        o AS (SELECT page, run, ei, min(si) * 9 AS a, max(si) * 9 + 8 AS z, string_agg('seg' || si, ' ' ORDER BY si) AS ocr FROM r WHERE ei IS NOT NULL GROUP BY page, run, ei)
+        SELECT page, ei, a AS "start", z AS "end", ocr, round(least(1.0, levenshtein('seg' || ei, replace(ocr, ' ', '')) / length('seg' || ei)), 9) AS cer FROM o"""
+    out["python_round"] = "SELECT p_partkey, CAST(format('{:.1f}', p_retailprice) AS DOUBLE) AS rounded FROM part"
+    out["substring_distance"] = """SELECT p_partkey, CAST(min(levenshtein(p_brand, substr(p_type, a, n))) AS INT) AS distance FROM part, unnest(range(1, length(p_type) + 1)) AS u(a), unnest(range(0, length(p_type) + 1)) AS v(n) WHERE a + n <= length(p_type) + 1 GROUP BY p_partkey"""
+    bit = "list_reduce(list_concat([xor(c, CAST(x AS BIGINT))], [0, 0, 0, 0, 0, 0, 0, 0]), lambda k, z: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END)"
+    out["hash_split"] = f"SELECT doc_id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, x: {bit}), 4294967295) % 1000 < 30 AS val FROM documents"
     for label in _PATTERNS:
         out["rx_" + label.lower()] = f'SELECT id, "start", "end", value FROM ({_matches(_ids, label)})'
     merged = " UNION ALL ".join(f"SELECT page, label, \"start\", \"end\", score FROM {_merged(f'(SELECT * FROM {_spans} WHERE source = ' + chr(39) + v + chr(39) + ')')}" for v in "ab")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = "bbox array<double>"
@@ -79,3 +79,35 @@ def audit(regions: DataFrame, *keys: str) -> DataFrame:
 def append_new(rows: DataFrame, done: DataFrame | None, key: str, path: str) -> None:
     """Appends rows whose key is not done yet, as JSON lines."""
     (rows if done is None else rows.join(done.select(key), key, "left_anti")).write.mode("append").json(path)
+
+
+def tsv_words(lines: DataFrame, *keys: str) -> DataFrame:
+    """Words of a recogniser's table (column value: level, ..., left, top, width, height, confidence, text by tabs): lines
+    of level 5, at least twelve fields and some text. Rows: keys, text, x0, y0, x1, y1, score."""
+    f = F.split("value", "\t")
+    number = lambda i: F.get("f", F.lit(i)).cast("int")
+    rows = lines.select(*keys, f.alias("f")).where((F.size("f") >= 12) & (F.get("f", F.lit(0)) == "5") & (F.trim(F.get("f", F.lit(11))) != ""))
+    return rows.select(*keys, F.get("f", F.lit(11)).alias("text"), number(6).alias("x0"), number(7).alias("y0"), (number(6) + number(8)).alias("x1"), (number(7) + number(9)).alias("y1"), (F.get("f", F.lit(10)).cast("double") / 100).alias("score"))
+
+
+def words_of_blocks(blocks: Column) -> Column:
+    """Words of nested blocks (paragraphs, lines, words), in order; null levels are empty."""
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    word = "struct<text:string,x0:double,y0:double,x1:double,y1:double,confidence:double>"
+    line = f"array<struct<words:array<{word}>>>"
+    par = f"array<struct<lines:{line}>>"
+    pars = F.flatten(F.transform(none(blocks, f"array<struct<paragraphs:{par}>>"), lambda b: none(b["paragraphs"], par)))
+    lines = F.flatten(F.transform(pars, lambda p: none(p["lines"], line)))
+    words = F.flatten(F.transform(lines, lambda x: none(x["words"], f"array<{word}>")))
+    return F.filter(words, lambda w: F.trim(w["text"]) != "")
+
+
+def face_files(table: DataFrame, column: str, most: int) -> DataFrame:
+    """Distinct image names of a list, sorted, up to a number of them."""
+    names = table.select(F.trim(column).alias("name")).where(F.lower("name").rlike(r"\.(jpg|jpeg|png)\z"))
+    return names.distinct().orderBy("name").limit(most)
+
+
+def write_yolo(lines: DataFrame, path: str) -> None:
+    """Label lines (split, file, line) as text, a folder for each split and file; a folder that is there is left alone."""
+    lines.repartition("split", "file").select("split", "file", "line").write.mode("errorifexists").partitionBy("split", "file").text(path)
