@@ -53,7 +53,9 @@ def padded(values: Column, size: int, fill: Column) -> Column:
     return F.slice(F.concat(values, F.array_repeat(fill, size)), 1, size)
 
 
-def hit(items: DataFrame, x: float, y: float, pad: float) -> DataFrame:
-    """The smallest item whose padded box holds a point."""
+def hit(items: DataFrame, x: float, y: float, pad: float, *keys: str) -> DataFrame:
+    """The smallest item (the first of equals) whose padded box holds a point, on each page (keys)."""
     inside = items.where((F.col("x0") - pad <= x) & (F.col("x1") + pad >= x) & (F.col("y0") - pad <= y) & (F.col("y1") + pad >= y))
-    return inside.orderBy((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), "ord").limit(1)
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    first = inside.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in items.columns if c not in keys)), F.struct(size, "ord")).alias("__i"))
+    return first.where("__i is not null").select(*keys, "__i.*")

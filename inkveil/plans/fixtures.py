@@ -43,11 +43,11 @@ FROM {lineitem}"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. Text in few scan partitions (some of them empty, where a file has few row groups) is dealt over all
-    cores; large tables have more, and stay."""
+    """A table. Text, and customers (of whom long texts are made), in few scan partitions (some of them empty, where a file
+    has few row groups) is dealt over all cores; large tables have more, and stay."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() <= 2 * cores else df
+    return df.repartition(cores) if name in ("documents", "pages", "customer") and df.rdd.getNumPartitions() <= 2 * cores else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

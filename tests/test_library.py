@@ -217,6 +217,49 @@ def test_matching_and_lines(spark):
     assert sorted((r.ei, r.start, r.end, r.ocr, round(r.cer, 6)) for r in moved) == [(0, 7, 18, "Ravi Kurnar", round(2 / 9, 6)), (1, 23, 25, "41", 0.0)]
 
 
+def test_edges_of_text(spark):
+    d = spark.createDataFrame([("(ICIC0740688).", "ICIC0740688"), ("Bhat,", "Bhat"), ("Bhat,", "Bhat,"), ("St.", "St."), ("((", "x"), ("", "x")], "v string, t string")
+    skip, value = T.trim_outer(F.col("v"), F.col("t"))
+    assert [tuple(r) for r in d.select(skip, value).collect()] == [(1, "ICIC0740688)"), (0, "Bhat"), (0, "Bhat,"), (0, "St."), (2, ""), (0, "")]
+    d = spark.createDataFrame([("ab cdef gh", 4, 5), ("ab cdef gh", 0, 0), ("ab", 2, 2), ("a\u00a0bc", 3, 4)], "t string, a int, b int")
+    s = T.snapped(F.col("t"), F.col("a"), F.col("b"))
+    assert [tuple(r) for r in d.select(*s).collect()] == [(3, 7), (0, 2), (0, 2), (2, 4)]
+    assert column(spark, ["", "--", "₹+", "a-", "-\n"], T.is_punct) == [True, True, True, False, False]
+    assert column(spark, [0.123, None], T.percent, "double") == ["12.3%", "–"]
+
+
+def test_boxes_of_detectors(spark):
+    b = [(1, 0, 0.0, 0.0, 40.0, 10.0), (1, 1, 42.0, 1.0, 80.0, 11.0), (1, 2, 200.0, 0.0, 240.0, 10.0), (1, 3, 0.0, 30.0, 40.0, 40.0)]
+    d = spark.createDataFrame(b, "page int, ord long, x0 double, y0 double, x1 double, y1 double")
+    g = layout.grouped_boxes(d, "page").orderBy("line", "part").collect()
+    assert [(r.n, r.x0, r.y0, r.x1, r.y1) for r in g] == [(2, -1.0, -1.0, 81.0, 12.0), (1, 199.0, -1.0, 241.0, 11.0), (1, -1.0, 29.0, 41.0, 41.0)]
+    assert [r.ord for r in matching.hit(d, 45, 5, 4, "page").collect()] == [1]
+    assert layout.grouped_boxes(d.limit(0), "page").count() == 0
+    h = spark.createDataFrame([(0.0, 341.0, 1024.0, 683.0)], "x0 double, y0 double, x1 double, y1 double")
+    back = h.select(*G.unletterbox(G.Box.of(), F.lit(300.0), F.lit(100.0))).first()
+    assert all(abs(a - b) < 0.5 for a, b in zip(back, (0, 0, 300, 100), strict=True))
+
+
+def test_tables_of_recognisers(spark, tmp_path):
+    rows = ["5\t1\t1\t1\t1\t1\t10\t20\t30\t40\t95\tword", "4\t1\t1\t1\t1\t0\t10\t20\t30\t40\t-1\tline", "5\t1\t1\t1\t1\t1\t1\t2\t3\t4\t9\t ", "5\tshort"]
+    w = records.tsv_words(spark.createDataFrame([(r,) for r in rows], "value string"))
+    assert [tuple(r) for r in w.collect()] == [("word", 10, 20, 40, 60, 0.95)]
+    lines = spark.createDataFrame([("train", "a", "0 0.5 0.5 0.1 0.1")], "split string, file string, line string")
+    records.write_yolo(lines, str(tmp_path / "y"))
+    assert [tuple(r) for r in spark.read.text(str(tmp_path / "y")).select("split", "value").collect()] == [("train", "0 0.5 0.5 0.1 0.1")]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        records.write_yolo(lines, str(tmp_path / "y"))
+
+
+def test_quota_ends_with_a_page(spark):
+    d = spark.createDataFrame([("f", p, k) for p in range(4) for k in range(3)], "source string, page int, k int")
+    assert sorted({r.page for r in sampling.quota(d, "source", "page", 4).collect()}) == [0, 1]
+    m = spark.createDataFrame([(i, "en", f"t{i % 3}") for i in range(30)], "id int, lang string, kind string")
+    s = sampling.splits(m, "lang", "kind", "id", F.col("kind") == "t0", F.col("id"), 6, 3, 10).collect()
+    assert len(s) == len({r.id for r in s}) == 19
+    assert sum(r.split == "train" and r.id % 3 == 0 for r in s) == 7
+
+
 def test_catalog_has_sql():
     missing = set(catalog.queries()) - set(catalog.oracle_sql())
     assert missing <= {"reading_order_tilt", "transfer_lines"}
