@@ -263,3 +263,23 @@ def test_quota_ends_with_a_page(spark):
 def test_catalog_has_sql():
     missing = set(catalog.queries()) - set(catalog.oracle_sql())
     assert missing <= {"reading_order_tilt", "transfer_lines"}
+
+
+def windows_of(n, size, stride):
+    """The windows of n places, by the walk of the definition."""
+    out, at = [(0, min(size, n))], 0
+    while out[-1][1] < n:
+        at += stride
+        out.append((at, min(at + size, n)))
+    return out
+
+
+def test_span_index_takes_whole_documents(spark):
+    token = re.compile(r"\w+(?:[-_]\w+)*|\S")
+    want = []
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        for a, b in windows_of(len(token.findall(r.text)), 200, 150):
+            made = [a + i + k < b for i in range(b - a) for k in range(12)]
+            want.append((r.doc_id, a, len(made), sum(made)))
+    got = [tuple(r) for r in catalog.queries()["span_index"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want) and len({r[2:] for r in got}) > 100
