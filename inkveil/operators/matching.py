@@ -50,7 +50,10 @@ def span_index(n: Column, width: int = 12) -> Column:
 
 
 def padded(values: Column, size: int, fill: Column) -> Column:
-    return F.slice(F.concat(values, F.array_repeat(fill, size)), 1, size)
+    """The values, filled up to size; more than size are an error."""
+    n = F.size(values)
+    refused = F.raise_error(F.concat(F.lit("padded: "), n.cast("string"), F.lit(f" values; at most {size} fit")))
+    return F.when(n > size, refused).otherwise(F.concat(values, F.array_repeat(fill, F.lit(size) - n)))
 
 
 def hit(items: DataFrame, x: float, y: float, pad: float, *keys: str) -> DataFrame:

@@ -214,10 +214,12 @@ def clean_examples(spark, sf):
 
 @query("SELECT doc_id, len(s) AS n, s[1] AS first, s[256] AS last FROM (SELECT doc_id, list_concat(list_transform(range(least(n_chars, 40)), lambda x: x), repeat([-1], 256))[1:256] AS s FROM documents)")
 def padded_feed(spark, sf):
-    n = F.least("n_chars", F.lit(40))
-    ids = F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<bigint>"))
-    d = table(spark, sf, "documents").select("doc_id", matching.padded(ids, 256, F.lit(-1).cast("long")).alias("s"))
-    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(255)).alias("last"))
+    """Every document in windows of at most 256 ids, each padded to 256."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(spans.windows(F.col("n_chars"), 256, 256)).alias("w"))
+    start, end = F.col("w.start").cast("long"), F.col("w.end").cast("long")
+    ids = F.when(end > start, F.sequence(start, F.greatest(end, start + 1) - 1)).otherwise(F.array().cast("array<bigint>"))
+    d = d.select("doc_id", start.alias("start"), matching.padded(ids, 256, F.lit(-1).cast("long")).alias("s"))
+    return d.select("doc_id", "start", F.size("s").cast("long").alias("n"), F.size(F.array_remove("s", F.lit(-1).cast("long"))).cast("long").alias("held"), F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(255)).alias("last"))
 
 
 # Reports

@@ -283,3 +283,17 @@ def test_span_index_takes_whole_documents(spark):
             want.append((r.doc_id, a, len(made), sum(made)))
     got = [tuple(r) for r in catalog.queries()["span_index"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(want) and len({r[2:] for r in got}) > 100
+
+
+def test_padded_feed_takes_whole_documents(spark):
+    want = []
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "n_chars").collect():
+        want += [(r.doc_id, a, 256, b - a, a if b > a else -1, b - 1 if b - a == 256 else -1) for a, b in windows_of(r.n_chars, 256, 256)]
+    got = [tuple(r) for r in catalog.queries()["padded_feed"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_padded_refuses_more_than_fit(spark):
+    assert column(spark, [[], [1], [1, 2]], lambda c: matching.padded(c, 2, F.lit(-1)), "array<int>") == [[-1, -1], [1, -1], [1, 2]]
+    with pytest.raises(Exception, match="3 values; at most 2 fit"):
+        column(spark, [[1, 2, 3]], lambda c: matching.padded(c, 2, F.lit(-1)), "array<int>")
