@@ -9,7 +9,7 @@ Classes of a bucket meet its centre, not each other; links are verified exactly
 and joined to components. Buckets that still hold several components get other
 centres for some rounds. What is apart even then is compared whole: small buckets
 by a join; larger ones are united to clusters, and blocks of a cluster meet, where
-registers prune, texts decide, and only links that join components come out.
+an exact bound prunes, texts decide, and only links that join components come out.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 6
 #: Rounds of other centres; each takes one of SPREAD of a class's buckets that are still mixed.
 CENTRES, SPREAD = 2, 4
-#: Buckets up to SMALL are compared by a join; larger ones in blocks of BLOCK, where registers must agree on at least similarity - SLACK.
-SMALL, BLOCK, SLACK = 12, 256, 0.1
+#: Buckets up to SMALL are compared by a join; larger ones in blocks of BLOCK.
+SMALL, BLOCK = 12, 256
 _OTHER = 0xD6E8FEB86659FD93
 
 
@@ -89,8 +89,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 key = B.mix(key * np.uint64(B._BASE) + band[:, :, i])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1).view(np.int64)))
-            registers = [r.tobytes() for r in (q & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("uid"), *(pa.array(p.view(np.int64)) for p in prints), pa.array(n), lists, pa.array(registers, pa.binary())], names=["id", "uid", "p", "q", "n", "bands", "registers"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("uid"), *(pa.array(p.view(np.int64)) for p in prints), pa.array(n), lists], names=["id", "uid", "p", "q", "n", "bands"])
 
 
 def similarity(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> float:
@@ -130,7 +129,10 @@ def _verify(least: float):
 
 def _meet(least: float):
     """Of two blocks of a cluster (or one with itself): links between components, as many as join them; a pair of one
-    component by then, or whose registers agree too little, is not looked at."""
+    component by then, or whose shared shingles cannot give least, is not looked at.
+
+    The bound is exact: a term of the probability Jaccard, 1 / sum of max(x / x_i, y / y_i), is at most the less of x_i and
+    y_i as shares of their bags."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, i, j = (x.as_py() for x in key)
@@ -141,12 +143,20 @@ def _meet(least: float):
         doc, w, count, _, n = shingles(table.column("t").combine_chunks())
         order = np.lexsort((w, doc))
         w, count, at = w[order], count[order], np.searchsorted(doc[order], np.arange(len(n) + 1))
-        r = np.array([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("registers")])
+        doc = np.repeat(np.arange(len(n)), np.diff(at))
+        share = count / np.bincount(doc, count, len(n))[doc]
+        _, code = np.unique(w, return_inverse=True)
+        other = np.flatnonzero(place[doc] == j)
+        doc, other_code, other_share = doc[other], code[other], share[other]
+        mine = np.zeros(code.max(initial=-1) + 1)
         out, there = [], np.flatnonzero(place == j)
         for a in np.flatnonzero(place == i):
             near = there[k[there] != k[a]]
-            agree = (r[near] == r[a]).mean(1)
-            near = near[np.argsort(-agree, kind="stable")[: (agree >= least - SLACK).sum()]]
+            own = slice(at[a], at[a + 1])
+            mine[code[own]] = share[own]
+            most = np.bincount(doc, np.minimum(mine[other_code], other_share), len(n))[near]
+            mine[code[own]] = 0
+            near = near[np.argsort(-most, kind="stable")[: (most >= least - 1e-9).sum()]]
             for b in near:
                 if k[a] == k[b]:
                     continue
@@ -186,10 +196,10 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     """
     docs = numbered(docs)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col("__uid").alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sketch = written(rows.mapInArrow(_sketch, "id long, uid long, p long, q long, n long, bands array<long>, registers binary"), "sketch")
+    sketch = written(rows.mapInArrow(_sketch, "id long, uid long, p long, q long, n long, bands array<long>"), "sketch")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     words = sketch.where("n > 0")
-    classes = written(words.groupBy("p", "q").agg(F.min(order).alias("first"), F.first("bands").alias("bands"), F.first("registers").alias("registers")).select("p", "q", F.col("first.uid").alias("c"), F.col("first.id").alias("id"), "bands", "registers"), "classes")
+    classes = written(words.groupBy("p", "q").agg(F.min(order).alias("first"), F.first("bands").alias("bands")).select("p", "q", F.col("first.uid").alias("c"), F.col("first.id").alias("id"), "bands"), "classes")
     buckets = classes.select("c", F.explode("bands").alias("b"))
     rank = lambda c: F.xxhash64(c)
     centres = buckets.groupBy("b").agg(F.min(F.struct(rank("c").alias("r"), "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("b", F.col("m.c").alias("y"), F.col("m.r").alias("r"))
@@ -238,9 +248,9 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
         clusters = components(large.join(large.groupBy("b").agg(F.min("c").alias("y")), "b").where("c <> y").select(F.col("c").alias("x"), "y").distinct())
         members = clusters.select(F.col("comp").alias("u"), F.col("v").alias("c")).join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("k", F.coalesce("comp", "c")).drop("comp")
         members = members.join(members.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "u")
-        members = members.join(classes.select("c", "registers"), "c").join(texts.withColumnRenamed("uid", "c"), "c")
+        members = members.join(texts.withColumnRenamed("uid", "c"), "c")
         place = F.pmod(F.xxhash64("c", F.lit(99)), F.col("parts")).cast("int")
-        members = members.select("u", "c", "k", "registers", "t", place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        members = members.select("u", "c", "k", "t", place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
         met = members.withColumn("i", F.least("place", "o")).withColumn("j", F.greatest("place", "o")).groupBy("u", "i", "j").applyInArrow(_meet(least), "x long, y long, s double")
         links = links.union(written(met, "met"))
         tested = first.union(rest)

@@ -156,6 +156,40 @@ def test_meet_in_blocks():
     assert out.num_rows <= 29
 
 
+def test_meet_finds_all_components():
+    """Blocks lose no pair of 0.8 or more, however few registers agree; bags of repeated shingles as well."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(1500):
+        base = [f"g{g}w{i}" for i in range(94)]
+        texts += [" ".join(base), " ".join(base[:-10] + [f"h{g}x{i}" for i in range(10)])]  # 80 shingles of 100 shared
+    doc, w, count, _, n = near_dedup.shingles(pa.array(texts))
+    m = near_dedup.BANDS * near_dedup.ROWS
+    r = (near_dedup.signatures(doc, w, count.astype(float), len(n), m) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    lowest = np.argsort((r[::2] == r[1::2]).sum(1), kind="stable")[:4]
+    chosen = [texts[2 * g + s] for g in lowest.tolist() for s in (0, 1)]
+    regs = [r[2 * g + s].tobytes() for g in lowest.tolist() for s in (0, 1)]
+    assert (r[2 * lowest[0]] == r[2 * lowest[0] + 1]).mean() < 0.7
+    size = len(chosen)
+    block = lambda ts, rs, place, i, j: near_dedup._meet(0.8)((pa.scalar(0), pa.scalar(i), pa.scalar(j)), pa.table({"c": list(range(len(ts))), "k": list(range(len(ts))), "registers": pa.array(rs, pa.binary()), "t": ts, "place": place}))
+    out = block(chosen, regs, [0] * size, 0, 0)
+    assert sorted(tuple(sorted(p)) for p in zip(out["x"].to_pylist(), out["y"].to_pylist(), strict=True)) == [(i, i + 1) for i in range(0, size, 2)]
+    bags = ["a b c d e " * k + " ".join(f"t{rng.randrange(12)}" for _ in range(6)) for k in range(2, 22)]
+    doc, w, count, _, n = near_dedup.shingles(pa.array(bags))
+    of = [(w[doc == d], count[doc == d]) for d in range(len(n))]
+    near = {(a, b) for a in range(0, 20, 2) for b in range(1, 20, 2) if near_dedup.similarity(*of[a], *of[b]) >= 0.8}
+    out = block(bags, [b""] * 20, [0, 1] * 10, 0, 1)
+    links = set(zip(out["x"].to_pylist(), out["y"].to_pylist(), strict=True))
+
+    def groups(pairs):
+        k = list(range(20))
+        for a, b in pairs:
+            k = [k[a] if x == k[b] else x for x in k]
+        return [k.index(x) for x in k]
+
+    assert near and links <= near and groups(links) == groups(near)
+
+
 def test_lattice_is_all_segmentations():
     lat = lattice_lm.Lattice([("▁a".encode(), -1.0), ("▁ab".encode(), -2.0), ("▁".encode(), -3.0), (b"b", -1.5), (b"bc", -2.5), (b"abc", -4.0)])
     p = np.random.default_rng(0).dirichlet(np.ones(lat.n))
