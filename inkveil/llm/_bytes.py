@@ -1,12 +1,14 @@
 """Byte-level kernels: words and their hashes, straight from Arrow buffers.
 
 All functions work on one slice of a text column as a uint8 array with
-document offsets, so that no Python object is made per word.
+document offsets, so that no Python object is made per word. Hashes find equal
+words; where words must be the same, bytes decide (distinct_runs, same_runs).
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,13 +94,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK, *more: str) -
     if not n:
         return
     lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (column, *more))
-    ends, at = np.cumsum(lengths), 0
+    ends, at, freed = np.cumsum(lengths), 0, 0
     while at < n:
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield batch.slice(at, to - at)
-        release()
+        freed = max(freed, ends[to - 1] - done)
         at = to
+        if at == n or freed > limit:
+            release()
+            freed = 0
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,23 +137,65 @@ def spans(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, side="right")))
-        base = starts[i]
-        part = _LUT[data[base : ends[j - 1]]]
-        n = len(part)
-        part *= _pow(_BASE, n)[:n]
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(part, out=total[1:])
-        s = starts[i:j] - base
-        out[i:j] = (total[ends[i:j] - base] - total[s]) * _pow(_INV, n)[s]
-        i = j
-    return mix(out)
+def _words8(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Runs of more bytes are hashed one by one.
+_LONG = 512
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: its length, then 8 bytes a round, mixed in one after another."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64) * np.uint64(_BASE) + np.uint64(_mix_int(seed + 1)))
+    if not len(n):
+        return out
+    far = np.flatnonzero(n > _LONG)
+    for i in far.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "big")).digest(), "little")
+    eight, at = _words8(data), None
+    for k in range(0, min(_LONG, int(n.max())), 8):
+        if k == 0 and not len(far):
+            out = mix((out ^ (eight[starts] & _MASK[np.minimum(n, 8)])) * np.uint64(_BASE))
+            continue
+        at = np.flatnonzero((n > k) & (n <= _LONG)) if at is None else at[n[at] > k]
+        out[at] = mix((out[at] ^ (eight[starts[at] + k] & _MASK[np.minimum(n[at] - k, 8)])) * np.uint64(_BASE))
+    return out
+
+
+def same_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Whether each run of data has the bytes of the run of other beside it."""
+    n = ends - starts
+    ok = n == z - a
+    x, y, at = _words8(data), _words8(other), np.flatnonzero(ok)
+    for k in range(0, int(n.max(initial=0)), 8):
+        at = at[n[at] > k]
+        if k >= _LONG:  # few and long
+            for i in at.tolist():
+                ok[i] = np.array_equal(data[starts[i] + k : ends[i]], other[a[i] + k : z[i]])
+            break
+        bad = (x[starts[at] + k] ^ y[a[at] + k]) & _MASK[np.minimum(n[at] - k, 8)] != 0
+        ok[at[bad]] = False
+        at = at[~bad]
+    return ok
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the distinct runs by their bytes, the hash of each, and where each is seen first. Runs of one length up to 8
+    bytes have hashes of their own (each step is a bijection); longer ones are compared."""
+    seed, n = 0, ends - starts
+    long = np.flatnonzero(n > 8)
+    while True:
+        codes, values, at = distinct(hashes(data, starts, ends, seed))
+        first = at[codes[long]]
+        if (n == n[at][codes]).all() and same_runs(data, starts[long], ends[long], data, starts[first], ends[first]).all():
+            return codes, hashes(data, starts[at], ends[at]) if seed else values, at
+        seed += 1  # two runs with one hash
 
 
 def hash_of(word: bytes) -> int:
@@ -157,6 +204,14 @@ def hash_of(word: bytes) -> int:
     return int(hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
+def prints(h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit print of each document's hashes in their order, as two numbers."""
+    whole, cuts = h.tobytes(), (8 * bound).tolist()
+    found = b"".join([hashlib.blake2b(whole[a:z], digest_size=16).digest() for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+    both = np.frombuffer(found, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive hashes (n - k + 1 of them)."""
     n = len(h) - k + 1

@@ -96,8 +96,9 @@ def _automaton(shared) -> tuple[Automaton, dict]:
 def count_tokens(docs: DataFrame, pieces: list[bytes], text: str = "text", prefix: str = "") -> DataFrame:
     """The rows with <prefix>n_words, n_pieces and n_bytes, which replace columns of these names.
 
-    Words are runs of bytes other than ASCII white space. Null texts have none.
-    Repeated rows, ties and other columns don't matter; empty tables give no rows.
+    Words are runs of bytes other than ASCII white space. Null texts have none; of
+    a very long text every word is counted, in time linear in its bytes. Repeated
+    rows, ties and other columns don't matter; empty tables give no rows.
     """
     names = [prefix + c for c in ("n_words", "n_pieces", "n_bytes")]
     keep = [c for c in docs.columns if c not in names]
@@ -110,14 +111,15 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], text: str = "text", prefi
             for part in B.slices(batch, text):
                 data, offsets = B.raw(part.column(text))
                 starts, ends, bound = B.spans(data, offsets, B.SOLID)
-                codes, values, first = B.distinct(B.hashes(data, starts, ends))
+                codes, _, first = B.distinct_runs(data, starts, ends)
                 if len(known) > _CACHE:
                     known.clear()
-                whole, values = data.tobytes(), values.tolist()
-                for v, a, z in zip(values, starts[first].tolist(), ends[first].tolist(), strict=True):
-                    if v not in known:
-                        known[v] = automaton.count(MARK + whole[a:z])
-                own = np.fromiter(map(known.__getitem__, values), np.int64, len(values))[codes] if len(codes) else np.zeros(0, np.int64)
+                whole = data.tobytes()
+                words = [whole[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                for w in words:
+                    if w not in known:
+                        known[w] = automaton.count(MARK + w)
+                own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[codes] if len(codes) else np.zeros(0, np.int64)
                 total = np.concatenate([[0], np.cumsum(own)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bound)), pa.array(total[bound[1:]] - total[bound[:-1]]), pa.array(np.diff(offsets))], names=[*keep, *names])
 
