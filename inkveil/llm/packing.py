@@ -3,8 +3,10 @@
 A document's ids are cut into whole windows; what remains is routed to the
 smallest context-size tier that holds it. Windows of the longest tier are filled
 up from shorter tiers (best fit, then a cut), then each shorter tier is packed
-alike; a rest of a task becomes power-of-two sequences. Sequences of one tier are
-dealt into step groups of equal token counts. Every task packs what it scans.
+alike; a rest of a task becomes power-of-two sequences. Every task packs what it
+scans. Step groups hold sequences of one padded size; what is left of each size
+when a task ends is mixed. As sizes are powers of two, every group has exactly
+step_tokens padded tokens, but for the last of each task.
 """
 
 from __future__ import annotations
@@ -88,12 +90,12 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def _learn(self, values: list[int], words: list[str]) -> None:
-        for v, e in zip(values, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[v] = len(self.ends) - 1
+    def _learn(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[w] = len(self.ends) - 1
             self.ids.extend(e.ids)
             self.ends.append(len(self.ids))
 
@@ -116,15 +118,13 @@ class Encoder:
         at = np.flatnonzero(pretokens(cp, np.searchsorted(head, offsets)))
         starts = head[at]
         ends = np.append(starts[1:], len(data))
-        codes, values, first = B.distinct(B.hashes(data, starts, ends))
+        codes, _, first = B.distinct_runs(data, starts, ends)
         if len(self.known) > _CACHE:
             self._reset()
-        values = values.tolist()
-        new = [i for i, v in enumerate(values) if v not in self.known]
-        if new:
-            text = data.tobytes()
-            self._learn([values[i] for i in new], [text[starts[first[i]] : ends[first[i]]].decode() for i in new])
-        row = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
+        whole = data.tobytes()
+        words = [whole[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self._learn([w for w in words if w not in self.known])
+        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         pool, bounds = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.int64)
         a, z = bounds[row][codes], bounds[row + 1][codes]
         ids, off = B.cut(pool, a, z)
@@ -138,9 +138,10 @@ class _Packer:
 
     def __init__(self, tiers: tuple[int, ...], partition: int, least: int = LEAST, step_tokens: int = STEP_TOKENS):
         self.tiers, self.window, self.least, self.step_tokens = tiers, tiers[-1], least, step_tokens
-        self.next, self.first = partition << 33, partition
-        self.group_of: dict[int, tuple[int, int]] = {}
-        self.groups = 0
+        if any(t & (t - 1) for t in tiers) or step_tokens % tiers[-1]:
+            raise ValueError("tiers must be powers of two, and step_tokens a multiple of the last")
+        self.next, self.next_group = partition << 33, partition << 33
+        self.open: dict[int, list[list[tuple]]] = {}
         self.pools = {t: ([], []) for t in tiers}  # sorted lengths; pieces beside them
         self.held = 0
         self.out: list[tuple] = []
@@ -171,15 +172,34 @@ class _Packer:
     def emit(self, pieces: list[tuple]) -> None:
         n, at = sum(len(p[2]) for p in pieces), 0
         padded = n if n & (n - 1) == 0 else self.window
-        group, filled = self.group_of.get(padded, (None, self.step_tokens))
-        if filled + padded > self.step_tokens:
-            group, filled = self.groups, 0
-            self.groups += 1
-        self.group_of[padded] = (group, filled + padded)
+        rows = []
         for doc, start, ids in pieces:
-            self.out.append((*doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), self.next, at, padded, (self.first << 33) + group, ids))
+            rows.append((*doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), self.next, at, padded, ids))
             at += len(ids)
         self.next += 1
+        group = self.open.setdefault(padded, [])
+        group.append(rows)
+        if len(group) * padded == self.step_tokens:
+            self.close(self.open.pop(padded))
+
+    def close(self, group: list[list[tuple]]) -> None:
+        """A step group is full, or the last."""
+        self.out += [(*r[:-1], self.next_group, r[-1]) for rows in group for r in rows]
+        self.next_group += 1
+
+    def mix(self) -> None:
+        """The open groups as mixed ones: sizes in falling order fill each other up."""
+        group, filled = [], 0
+        for padded in sorted(self.open, reverse=True):
+            for rows in self.open[padded]:
+                group.append(rows)
+                filled += padded
+                if filled == self.step_tokens:
+                    self.close(group)
+                    group, filled = [], 0
+        if group:
+            self.close(group)
+        self.open = {}
 
     def fill(self, pieces: list[tuple], gap: int, own: int) -> int:
         """Fills a gap from shorter tiers by best fit, then by cutting the longest short piece; what is left of it."""
@@ -218,6 +238,8 @@ class _Packer:
                     return
                 else:  # these are the last tokens of all tiers up to t
                     self.rest(pieces)
+        if last:
+            self.mix()
 
     def rest(self, pieces: list[tuple]) -> None:
         n = sum(len(p[2]) for p in pieces)
@@ -247,8 +269,10 @@ def pack(docs: DataFrame, tokenizer_json: str, text: str = "text", key: str = "d
     (padded), step_group and the ids.
 
     tokenizer_json is the text of a tokenizer file. Null texts count as empty
-    and have the end id alone. Rows with equal or null ids are packed like any.
-    Empty tables give no rows; other columns are not read.
+    and have the end id alone. Rows with equal or null ids and repeated rows are
+    packed like any; of remainders of one length the later one is taken first. A
+    very long text is encoded alone and cut into whole windows. Empty tables give
+    no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     arrow = pa.schema([*((c, pa.int64()) for c in _COLUMNS), ("ids", pa.list_(pa.int32()))])
