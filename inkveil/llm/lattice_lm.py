@@ -3,17 +3,16 @@
 An existing vocabulary gives the pieces and, by its scores, first weights; these
 are re-estimated on the counts of all training words by forward and backward
 sums. A word is a word-start mark and its bytes; every byte is a piece, so every
-text has a probability. More segmentations of a word are the word itself: arcs
-over all of it, weighted by its training counts in one class of texts and in all
-(in training less one, so that the arcs' shares are honest for new text). Classes
-are the training texts' languages; a text's probability is the sum over classes,
-and its own language is never looked at. The forward recursion runs in log space,
+text has a probability. After each token a text ends with the training texts'
+rate, or else takes a word by its pieces. The forward recursion runs in log space,
 for many words at once; a word's result is kept while its task's cache holds it.
+A word of more than LONG bytes is taken alone, slab by slab.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, inf, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +25,14 @@ from .token_counts import MARK
 
 ROUNDS = 3
 #: Words of at least 1 / HEAVY of all training tokens, so at most HEAVY of them, are broadcast; the others are joined.
-HEAVY = 1 << 20
-#: Classes of texts at most, those with most training texts; other texts are in none.
-CLASSES = 8
+HEAVY = 1 << 19
 _CACHE = 1 << 19
+#: Words that a task counts before it passes them on.
+_TABLE = 1 << 18
 #: Bytes of words whose lattices are held at once; a lattice takes about 400 times as many.
 _PART = 1 << 17
+#: Longer words are swept node by node, _SLAB bytes of lattice at once.
+LONG, _SLAB = 512, 1 << 15
 
 
 def load_vocabulary(model_file: str) -> list[tuple[bytes, float]]:
@@ -47,6 +48,17 @@ def load_vocabulary(model_file: str) -> list[tuple[bytes, float]]:
     return list(out.items())
 
 
+def _rolled(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which the hash of every substring follows: (total[j] - total[i]) * inverse[i], for short ones."""
+    n = len(flat)
+    part = B._LUT[flat] * B._pow(B._BASE, n + 1)[:n]
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)]), B._pow(B._INV, n + 1)
+
+
+def piece_hash(piece: bytes) -> int:
+    return int(B.mix(_rolled(np.frombuffer(piece, np.uint8))[0][-1:])[0])
+
+
 class Lattice:
     """The vocabulary as hash tables; ids: pieces at a word's start, pieces inside, the mark alone."""
 
@@ -57,11 +69,12 @@ class Lattice:
         bare = dict(vocabulary).get(MARK, least)
         self.n = len(start) + len(inner) + 1
         self.bare = self.n - 1
+        self.longest = max(map(len, [*start, *inner]))
         self.sides, at = [], 0
         for side in (start, inner):
             sizes = {}
             for k in sorted({len(p) for p in side}):
-                own = [(B.hash_of(p), at + i) for i, p in enumerate(side) if len(p) == k]
+                own = [(piece_hash(p), at + i) for i, p in enumerate(side) if len(p) == k]
                 own.sort()
                 keys = np.array([h for h, _ in own], np.uint64)
                 bits = np.zeros(1 << 18, bool)
@@ -72,18 +85,16 @@ class Lattice:
         w = np.array([*start.values(), *inner.values(), bare])
         self.logp = w - np.log(np.exp(w - w.max()).sum()) - w.max()
 
-    def edges(self, flat: np.ndarray, off: np.ndarray):
+    def edges(self, flat: np.ndarray, off: np.ndarray, begins: bool = True, until: int | None = None):
         """Lattice edges of words (bytes one after another): from and to node, piece, whether the mark alone goes before.
-        A word of n bytes has n + 1 nodes."""
+        A word of n bytes has n + 1 nodes. begins: words begin at off, not before; until: edges from nodes before it."""
         n = len(flat)
         length = np.diff(off)
         word = np.repeat(np.arange(len(length)), length)
         left = np.repeat(off[1:], length) - np.arange(n)
-        part = B._LUT[flat] * B._pow(B._BASE, n + 1)[:n]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
-        inverse = B._pow(B._INV, n + 1)
+        total, inverse = _rolled(flat)
         sizes = sorted({*self.sides[0], *self.sides[1]})
-        at, first = np.arange(n), left == length[word]
+        at, first = np.arange(n if until is None else until), (left == length[word]) & begins
         out = []
         for k in sizes:
             at = at[left[at] >= k]
@@ -104,14 +115,23 @@ class Lattice:
                 out.append((i + word[i], i + word[i] + k, ids[to], first[i] & bool(s)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def forward(self, flat: np.ndarray, off: np.ndarray, logp: np.ndarray, counts=None):
-        """Log probability of each word; with counts, made of it, also the expected uses of each piece."""
-        if counts is None and off[-1] > _PART:
-            cuts = np.unique(np.append(np.searchsorted(off, np.arange(0, off[-1], _PART)), len(off) - 1))
-            return np.concatenate([self._forward(flat[off[i] : off[j]], off[i : j + 1] - off[i], logp, None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-        return self._forward(flat, off, logp, counts)
-
-    def _forward(self, flat: np.ndarray, off: np.ndarray, logp: np.ndarray, counts):
+    def forward(self, flat: np.ndarray, off: np.ndarray, logp: np.ndarray, counts: np.ndarray | None = None):
+        """Log probability of each word; with counts of the words, also the expected uses of each piece."""
+        size = np.diff(off)
+        z, total = np.zeros(len(size)), np.zeros(self.n)
+        for i in np.flatnonzero(size > LONG).tolist():
+            z[i], use = self._long(flat[off[i] : off[i + 1]], logp, None if counts is None else counts[i])
+            total += use
+        short = np.flatnonzero(size <= LONG)
+        if len(short) < len(size):
+            flat, off = B.cut(flat, off[:-1][short], off[1:][short])
+        cuts = np.unique(np.append(np.searchsorted(off, np.arange(0, off[-1], _PART)), len(off) - 1))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            z[short[i:j]], use = self._short(flat[off[i] : off[j]], off[i : j + 1] - off[i], logp, None if counts is None else counts[short[i:j]])
+            total += use
+        return z if counts is None else (z, total)
+
+    def _short(self, flat: np.ndarray, off: np.ndarray, logp: np.ndarray, counts: np.ndarray | None):
         words = len(off) - 1
         node = off + np.arange(words + 1)
         src, dst, piece, bare = self.edges(flat, off)
@@ -122,16 +142,48 @@ class Lattice:
         _sweep(a, src, dst, w, dst - own[dst])
         z = a[node[1:] - 1]
         if counts is None:
-            return z
+            return z, 0
         b = np.full(node[-1], -np.inf)
         b[node[1:] - 1] = 0
         last = np.repeat(node[1:] - 1, np.diff(off) + 1)
         _sweep(b, dst, src, w, last[src] - src)
         which = np.repeat(np.arange(words), np.diff(off) + 1)[src]
-        use = np.exp(a[src] + w + b[dst] - z[which]) * counts(z)[which]
+        return z, self._uses(piece, bare, np.exp(a[src] + w + b[dst] - z[which]) * counts[which])
+
+    def _uses(self, piece: np.ndarray, bare: np.ndarray, use: np.ndarray) -> np.ndarray:
         total = np.bincount(piece, use, self.n)
         total[self.bare] += use[bare].sum()
-        return z, total
+        return total
+
+    def _long(self, word: np.ndarray, logp: np.ndarray, count: float | None):
+        """One word, with the edges of one slab at once and a number for each node."""
+        n, total = len(word), np.zeros(self.n)
+
+        def slab(s: int):
+            part = word[s : s + _SLAB + self.longest]
+            src, dst, piece, bare = self.edges(part, np.array([0, len(part)]), s == 0, min(_SLAB, n - s))
+            order = np.argsort(src, kind="stable")
+            src, dst, piece, bare = src[order] + s, dst[order] + s, piece[order], bare[order]
+            return src, dst, piece, bare, logp[piece] + np.where(bare, logp[self.bare], 0)
+
+        def sweep(v: list[float], edges) -> None:
+            for i, j, w in edges:
+                x, y = v[i] + w, v[j]
+                v[j] = x if y == -inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
+
+        a = [0.0, *[-inf] * n]
+        for s in range(0, n, _SLAB):
+            src, dst, _, _, w = slab(s)
+            sweep(a, zip(src.tolist(), dst.tolist(), w.tolist(), strict=True))
+        if count is None:
+            return a[n], 0
+        b = [*[-inf] * n, 0.0]
+        for s in reversed(range(0, n, _SLAB)):
+            src, dst, piece, bare, w = slab(s)
+            sweep(b, zip(dst[::-1].tolist(), src[::-1].tolist(), w[::-1].tolist(), strict=True))
+            x, y = np.array(a[s : s + _SLAB]), np.array(b[s : s + _SLAB + self.longest + 1])
+            total += self._uses(piece, bare, np.exp(x[src - s] + w + y[dst - s] - a[n]) * count)
+        return a[n], total
 
 
 def _sweep(a: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, step: np.ndarray) -> None:
@@ -154,183 +206,150 @@ def _tokens(column: pa.Array):
     return (data, *B.spans(data, offsets, B.SOLID))
 
 
-def word_counts(rows: DataFrame, classes: int) -> DataFrame:
-    """(word binary, h, c, cs) of all words of column t: counts in all and by class (column k, -1 for none); counts meet in
-    each task first."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word binary, c) of all words of column t; counts meet in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            h, k, c = (np.concatenate([x[i] for x in held]) for i in range(3))
-            words = np.concatenate([np.array(x[3], object) for x in held])
-            codes, _, at = B.distinct(B.mix(h + k.astype(np.uint64) * np.uint64(B._BASE)))
-            return pa.RecordBatch.from_arrays([pa.array(words[at], pa.binary()), pa.array(h[at].view(np.int64)), pa.array(k[at]), pa.array(np.bincount(codes, c).astype(np.int64))], names=["word", "h", "k", "c"])
-
+        held: dict[bytes, int] = {}
         for batch in batches:
             for part in B.slices(batch, "t"):
-                data, starts, ends, bound = _tokens(part.column("t"))
-                if not len(starts):
-                    continue
-                kind = np.repeat(part.column("k").to_numpy().astype(np.int64), np.diff(bound))
-                h = B.hashes(data, starts, ends)
-                codes, _, at = B.distinct(B.mix(h + kind.astype(np.uint64) * np.uint64(B._BASE)))
+                data, starts, ends, _ = _tokens(part.column("t"))
+                codes, _, at = B.distinct_runs(data, starts, ends)
                 whole = data.tobytes()
-                held.append((h[at], kind[at], np.bincount(codes), [whole[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-                size += len(at)
-                if size > 500_000:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                for a, z, n in zip(starts[at].tolist(), ends[at].tolist(), np.bincount(codes, minlength=len(at)).tolist(), strict=True):
+                    w = whole[a:z]
+                    held[w] = held.get(w, 0) + n
+                if len(held) > _TABLE:
+                    yield _counted(held)
+                    held = {}
+        yield _counted(held)
 
-    each = [F.coalesce(F.sum(F.when(F.col("k") == i, F.col("c"))), F.lit(0)) for i in range(classes)]
-    counts = rows.select("t", "k").mapInArrow(run, "word binary, h long, k long, c long")
-    return counts.groupBy("word", "h").agg(F.sum("c").alias("c"), (F.array(*each) if each else F.array().cast("array<bigint>")).alias("cs"))
+    return rows.select("t").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of one length as a matrix."""
-    flat = column.flatten() if isinstance(column, pa.ListArray) else pa.array([x for row in column.to_pylist() for x in row], pa.int64())
-    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+def _counted(held: dict[bytes, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
 
 
 def _join(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return B.raw(words.cast(pa.large_binary()))
 
 
-def fit(counts: DataFrame, sizes: np.ndarray, vocabulary: list[tuple[bytes, float]], rounds: int = ROUNDS) -> tuple[Lattice, np.ndarray, tuple[float, float]]:
-    """Piece weights, and the shares of a class's and of all texts' whole-word arcs, from the counts of all words. sizes: words
-    by class, then of all. Each round sends one number a piece."""
+def fit(counts: DataFrame, vocabulary: list[tuple[bytes, float]], rounds: int = ROUNDS) -> tuple[Lattice, np.ndarray]:
+    """Log weights of the pieces from the counts of all words. Each round sends one number a piece."""
     lattice = Lattice(vocabulary)
     context = counts.sparkSession.sparkContext
-    logp, shares, words = lattice.logp, (0.4, 0.3), sizes[-1]
-    for _ in range(rounds if words else 0):
-        shared = context.broadcast((lattice, logp, shares))
+    logp = lattice.logp
+    for _ in range(rounds):
+        shared = context.broadcast((lattice, logp))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lat, p, (own, every) = shared.value
-            total = np.zeros(lat.n + 2)
+            lat, p = shared.value
+            total = np.zeros(lat.n)
             for batch in batches:
                 for part in B.slices(batch, "word", _PART):
                     flat, off = _join(part.column("word"))
-                    if not len(flat):
-                        continue
-                    c = part.column("c").to_numpy().astype(float)
-                    cs = np.column_stack([_matrix(part.column("cs"), len(sizes) - 1), c])
-                    n = np.column_stack([cs[:, :-1], c - cs[:, :-1].sum(1)])  # the last: texts of no class
-                    a = own * np.maximum(cs - 1, 0) / np.maximum(sizes - 1, 1)
-                    b = every * (c - 1) / max(words - 1, 1)
-
-                    def split(z, n=n, a=a, b=b, own=own, every=every):
-                        rest = (1 - own - every) * np.exp(np.maximum(z, -700))
-                        return n * (a / (a + (b + rest)[:, None])), n * (b[:, None] / (a + (b + rest)[:, None]))
-
-                    def pieces(z, c=c, split=split):
-                        x, y = split(z)
-                        return np.maximum(c - x.sum(1) - y.sum(1), 0)
-
-                    z, use = lat.forward(flat, off, p, pieces)
-                    x, y = split(z)
-                    total[:-2] += use
-                    total[-2:] += x.sum(), y.sum()
+                    if len(flat):
+                        total += lat.forward(flat, off, p, part.column("c").to_numpy().astype(float))[1]
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-        got = counts.select("word", "c", "cs").mapInArrow(expect, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-        total = np.zeros(lattice.n + 2)
-        total[got["i"].to_numpy()] += got["n"].to_numpy()
-        own, every = (total[-2:] + 0.001 * words) / (words * 1.003)
-        shares = (float(own), float(every))
-        logp = np.log((total[:-2] + 0.01) / (total[:-2] + 0.01).sum())
+        got = counts.select("word", "c").mapInArrow(expect, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+        total = np.full(lattice.n, 0.01)
+        total[got["i"].to_numpy(np.int64)] += got["n"].to_numpy(float)
+        logp = np.log(total / total.sum())
         shared.unpersist()
-    return lattice, logp, shares
-
-
-def score(docs: DataFrame, vocabulary: list[tuple[bytes, float]], text: str = "text", key: str = "doc_id", held_out: tuple[int, int] = (5, 1), rounds: int = ROUNDS, lang: str | None = "lang") -> DataFrame:
+    return lattice, logp
+
+
+class Known:
+    """Counts of some words, found by hash and told apart by bytes."""
+
+    def __init__(self, words: list[bytes], counts: list[int]):
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+        h = B.hashes(self.data, off[:-1], off[1:])
+        order = np.argsort(h, kind="stable")
+        self.h, self.c, self.a, self.z = h[order], np.array(counts, np.int64)[order], off[:-1][order], off[1:][order]
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The count of each run of bytes with hash h; 0 if it is none of the words."""
+        if not len(self.h) or not len(h):
+            return np.zeros(len(h), np.int64)
+        to = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        hit = np.flatnonzero(self.h[to] == h)
+        c = np.zeros(len(h), np.int64)
+        while len(hit):
+            ok = B.same_runs(data, starts[hit], ends[hit], self.data, self.a[to[hit]], self.z[to[hit]])
+            c[hit[ok]] = self.c[to[hit[ok]]]
+            hit = hit[~ok]  # another word with this hash may follow
+            to[hit] += 1
+            hit = hit[to[hit] < len(self.h)]
+            hit = hit[self.h[to[hit]] == h[hit]]
+        return c
+
+
+def score(docs: DataFrame, vocabulary: list[tuple[bytes, float]], text: str = "text", key: str = "doc_id", held_out: tuple[int, int] = (5, 1), rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
     """One row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Learns from the rows whose key's crc32 does not leave the held-out remainder.
     Tokens: runs of bytes other than ASCII white space after A-Z are lower-cased,
     and one end for each text; null counts as empty. base_score is that of single
     tokens with counts plus a half; score the lattice's. Repeated rows and null
-    keys are scored like any; other columns are not read; without rows: no rows.
-    The model: a text has a class; after each token it ends with the training
-    texts' rate, or else takes a word, by an arc or by its pieces. Where docs has
-    no column lang, there is one class.
+    keys are scored like any, and rows of one text alike; a very long text or word
+    is scored whole. Other columns are not read; without rows: no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), (remainder(F.col(key), held_out[0]) == held_out[1]).alias("held_out"), (F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")).alias("l"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), (remainder(F.col(key), held_out[0]) == held_out[1]).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     texts = train.count()
-    common = train.where("l is not null").groupBy("l").count().orderBy(F.desc("count"), "l").limit(CLASSES).collect()
-    number = F.coalesce(*(F.when(F.col("l") == x["l"], i) for i, x in enumerate(common)), F.lit(-1)) if common else F.lit(-1)
-    counts = written(word_counts(train.withColumn("k", number.cast("long")), len(common)), "words")
-    n, types, *by_class = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.coalesce(F.sum(F.get("cs", F.lit(i))), F.lit(0)) for i in range(len(common)))).first()
-    words, n, types = n, n + texts, types + (texts > 0)
-    sizes = np.array([*by_class, words], float)
-    lattice, logp, shares = fit(counts, sizes, vocabulary, rounds)
-    heavy = counts.where(F.col("c") * HEAVY >= n).select("h", "c", "cs").toPandas().sort_values("h")
-    known = (heavy["h"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64), np.array([list(x) for x in heavy["cs"]], float).reshape(len(heavy), len(common)))
-    shared = spark.sparkContext.broadcast((lattice, logp, known))
-    prior = np.array([*(x["count"] for x in common), texts - sum(x["count"] for x in common) + 1.0]) + 0.5
-    prior = np.log10(prior / prior.sum())
-    each_class = range(len(prior))
+    counts = written(word_counts(train), "words")
+    words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n, types = words + texts, types + (texts > 0)
+    lattice, logp = fit(counts, vocabulary, rounds)
+    often = counts.where(F.col("c") * heavy >= n).toPandas()
+    shared = spark.sparkContext.broadcast((lattice, logp, Known([bytes(w) for w in often["word"]], often["c"].tolist())))
     bottom = float(np.log10(n + 0.5 * (types + 1)))
     stop = (texts + 0.5) / (n + 1)
-    arcs = [(1 - stop) * shares[0] / max(1.0, x) for x in sizes]  # by the class's count; of the last class, by the count of all
-    arc, other = (1 - stop) * shares[1] / max(1, words), float(np.log10((1 - sum(shares)) * (1 - stop)))
+    go, end = float(np.log10(1 - stop)), float(np.log10(stop))
     base = lambda c: np.log10(c + 0.5) - bottom
-    model = lambda a, own, c, z: np.where(c > 0, np.log10(a * own + arc * c + 10 ** np.maximum(other + z, -300)), other + z)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, p, (hs, cs, ks) = shared.value
-        cache: dict[int, float] = {}
+        lat, p, known = shared.value
+        cache: dict[bytes, float] = {}
         for batch in batches:
             for part in B.slices(batch, "t"):
                 data, starts, ends, bound = _tokens(part.column("t"))
-                codes, values, at = B.distinct(B.hashes(data, starts, ends))
+                codes, h, at = B.distinct_runs(data, starts, ends)
+                starts, ends, whole = starts[at], ends[at], data.tobytes()
                 if len(cache) > _CACHE:
                     cache.clear()
-                listed = values.tolist()
-                new = np.array([i for i, v in enumerate(listed) if v not in cache], np.int64)
+                listed = [whole[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+                new = np.array([i for i, w in enumerate(listed) if w not in cache], np.int64)
                 if len(new):
-                    flat, off = B.cut(data, starts[at[new]], ends[at[new]])
+                    flat, off = B.cut(data, starts[new], ends[new])
                     cache.update(zip([listed[i] for i in new.tolist()], (lat.forward(flat, off, p) / np.log(10)).tolist(), strict=True))
                 logs = np.fromiter(map(cache.__getitem__, listed), float, len(listed))
-                signed = values.view(np.int64) if len(values) else np.zeros(0, np.int64)
-                where = np.minimum(np.searchsorted(hs, signed), max(0, len(hs) - 1))
-                hit = hs[where] == signed if len(hs) else np.zeros(len(signed), bool)
-                c = np.where(hit, cs[where], 0) if len(hs) else np.zeros(len(signed), np.int64)
-                k = np.where(hit[:, None], ks[where], 0) if len(hs) else np.zeros((len(signed), len(common)))
-                m, words = part.num_rows, np.diff(bound)
-                doc = np.repeat(np.arange(m), words)
+                c = known.find(data, starts, ends, h)
+                m, size = part.num_rows, np.diff(bound)
+                doc = np.repeat(np.arange(m), size)
                 add = lambda v, doc=doc, m=m: np.bincount(doc, v, m)
-                heads = [part.column("doc_id"), part.column("uid"), part.column("held_out"), pa.array(words + 1), pa.array((add(hit[codes].astype(float)) + (texts > 0)).astype(np.int64)), pa.array(add(np.where(hit, base(c), 0.0)[codes]) + base(texts)), *(pa.array(add(np.where(hit, model(arcs[i], k[:, i] if i < len(common) else c, c, logs), 0.0)[codes]) + np.log10(stop)) for i in each_class)]
-                uid = part.column("uid").to_numpy()
+                hit, uid = c > 0, part.column("uid").to_numpy()
+                heads = [part.column("doc_id"), part.column("uid"), part.column("held_out"), pa.array(size + 1), pa.array((add(hit[codes].astype(float)) + (texts > 0)).astype(np.int64)), pa.array(add(np.where(hit, base(c), 0.0)[codes]) + base(texts)), pa.array(add(logs[codes]) + size * go + end)]
+                own = [b" " + u.tobytes() for u in uid]  # no word has a space: it meets no count, and is dealt evenly
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(own, pa.binary()), pa.nulls(m, pa.int64())], names=names)
                 rare = ~hit[codes]
-                pair, _, where = B.distinct(B.mix(doc[rare].astype(np.uint64) * np.uint64(B._BASE) + codes[rare].astype(np.uint64)))
-                tf = np.bincount(pair, minlength=len(where))
-                d, w = doc[rare][where], signed[codes[rare][where]]
-                size = len(d)
-                yield pa.RecordBatch.from_arrays([*heads, pa.array(B.mix(uid.astype(np.uint64) + np.uint64(B._BASE)).view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.float64())], names=names)
-                none = pa.nulls(size, part.schema.field("doc_id").type)
-                yield pa.RecordBatch.from_arrays([none, pa.array(uid[d]), pa.nulls(size, pa.bool_()), *(pa.nulls(size, pa.int64()) for _ in range(2)), *(pa.nulls(size, pa.float64()) for _ in range(1 + len(prior))), pa.array(w), pa.array(tf), pa.array(logs[codes[rare][where]])], names=names)
-
-    names = ["doc_id", "uid", "held_out", "n_tokens", "n_known", "base_score", *(f"s{i}" for i in each_class), "h", "tf", "z"]
+                pair, keys = np.unique(doc[rare] * max(1, len(listed)) + codes[rare], return_counts=True)
+                d, w = pair // max(1, len(listed)), pair % max(1, len(listed))
+                k = len(pair)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, part.schema.field("doc_id").type), pa.array(uid[d]), pa.nulls(k, pa.bool_()), *(pa.nulls(k, pa.int64()) for _ in range(2)), *(pa.nulls(k, pa.float64()) for _ in range(2)), pa.array(np.array(listed, object)[w] if k else [], pa.binary()), pa.array(keys)], names=names)
+
+    names = ["doc_id", "uid", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "tf"]
     kind = dict(rows.dtypes)["doc_id"]
-    scores = ", ".join(f"s{i} double" for i in each_class)
-    parts = rows.drop("l").withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id {kind}, uid long, held_out boolean, n_tokens long, n_known long, base_score double, {scores}, h long, tf long, z double")
-    tail = counts.where(F.col("c") * HEAVY < n).select("h", "c", "cs")
+    parts = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id {kind}, uid long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, tf long")
+    tail = counts.where(F.col("c") * heavy < n)
     c = F.coalesce("c", F.lit(0))
-    each = parts.join(tail, "h", "left").withColumn("n_known", F.coalesce("n_known", F.when(c > 0, F.col("tf")).otherwise(0))).withColumn("base_score", F.coalesce("base_score", F.col("tf") * (F.log10(c + 0.5) - F.lit(bottom))))
-    each = each.withColumn("pieces", F.lit(other) + F.col("z")).withColumn("low", F.pow(F.lit(10.0), F.greatest("pieces", F.lit(-300.0))) + F.lit(arc) * c)
-    for i in each_class:
-        own = F.get("cs", F.lit(i)) if i < len(common) else c
-        each = each.withColumn(f"s{i}", F.coalesce(f"s{i}", F.col("tf") * F.when(c > 0, F.log10(F.lit(arcs[i]) * own + F.col("low"))).otherwise(F.col("pieces"))))
+    each = parts.join(tail, "word", "left").withColumn("n_known", F.coalesce("n_known", F.when(c > 0, F.col("tf")).otherwise(0))).withColumn("base_score", F.coalesce("base_score", F.col("tf") * (F.log10(c + 0.5) - F.lit(bottom))))
     one = lambda c: F.max(c).alias(c)
-    done = each.groupBy("uid").agg(one("doc_id"), one("held_out"), one("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), *(F.sum(f"s{i}").alias(f"s{i}") for i in each_class))
-    full = [F.col(f"s{i}") + F.lit(float(prior[i])) for i in each_class]
-    top = F.greatest(*full) if len(full) > 1 else full[0]
-    score = top + F.log10(sum((F.pow(F.lit(10.0), F.greatest(x - top, F.lit(-300.0))) for x in full), F.lit(0.0)))
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"))
+    done = each.groupBy("uid").agg(one("doc_id"), one("held_out"), one("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), one("score"))
+    return done.drop("uid")
