@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all runs on this
+    machine, as in tests; on a cluster that is an error."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("inkveil.scratch.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="inkveil-")
         spark.conf.set("inkveil.scratch.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -40,6 +44,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Removes the tables written since that mark (see mark) but those that one of keep reads."""
+    used = "".join(x for df in keep for x in df.inputFiles())
+    for entry in _written[since:]:
+        if entry[0] is spark and entry[1].rpartition("/")[2] not in used:
+            discard(*entry)
+            _written.remove(entry)
+
+
+def mark() -> int:
+    return len(_written)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a scratch table."""
     with contextlib.suppress(Exception):

@@ -19,11 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _bytes as B
+from ._shared import written
 
 #: Bytes of keys that one trie keeps in memory.
 TRIE_BYTES = 48 << 20
+#: Groups of at least 1 / HEAVY of all rows are broadcast.
+HEAVY = 1000
 
 
 class _Node:
@@ -40,8 +44,8 @@ class PatriciaTrie:
     limit bytes of labels are held, and come back as tries of their own.
     """
 
-    def __init__(self, first=max, limit: int = TRIE_BYTES, depth: int = 0):
-        self.first, self.limit, self.depth = first, limit, depth
+    def __init__(self, first=max, limit: int = TRIE_BYTES, depth: int = 0, prefix: bytes = b""):
+        self.first, self.limit, self.depth, self.prefix = first, limit, depth, prefix
         self.root, self.size, self.by_branch, self.spilled = _Node(b""), 0, {}, {}
 
     def insert(self, key: bytes, owner, rows: int = 1) -> None:
@@ -80,17 +84,14 @@ class PatriciaTrie:
 
     def _spill(self) -> None:
         branch = max((b for b in self.by_branch if b is not None), key=self.by_branch.get, default=None)
-        if branch is None or len(self.by_branch) == 1 and self.depth > 64:
+        if branch is None:
             return
         f = tempfile.TemporaryFile()  # noqa: SIM115
-        for item in self._walk(self.root.edges.pop(branch), bytes(self._prefix())):
+        for item in self._walk(self.root.edges.pop(branch), self.prefix):
             pickle.dump(item, f)
         self.spilled[branch] = f
         self.size -= self.by_branch.pop(branch)
 
-    def _prefix(self) -> bytes:
-        return self.prefix if hasattr(self, "prefix") else b""
-
     def _walk(self, node: _Node, before: bytes) -> Iterator[tuple]:
         stack = [(node, before)]
         while stack:
@@ -101,24 +102,28 @@ class PatriciaTrie:
             stack.extend((x, key) for x in node.edges.values())
 
     def items(self) -> Iterator[tuple]:
-        """(key, owner, rows) of every distinct key; may be read once."""
-        yield from self._walk(self.root, self._prefix())
+        """(key, owner, rows) of every distinct key; may be read once. A subtree in a file goes on below what all its keys
+        begin with, so it has several branches or is one key."""
+        yield from self._walk(self.root, self.prefix)
         self.root = _Node(b"")
-        for branch, f in self.spilled.items():
-            sub = PatriciaTrie(self.first, self.limit, self.depth + 1)
-            f.seek(0, os.SEEK_SET)
-            first = True
-            while True:
-                try:
-                    key, owner, rows = pickle.load(f)
-                except EOFError:
-                    break
-                if first:
-                    sub.prefix, first = key[: self.depth + 1], False
-                sub.insert(key, owner, rows)
+        for f in self.spilled.values():
+            prefix = None
+            for key, _, _ in _loaded(f):
+                prefix = key if prefix is None else key[: _common(prefix, key)]
+            sub = PatriciaTrie(self.first, self.limit, len(prefix), prefix)
+            for item in _loaded(f):
+                sub.insert(*item)
             f.close()
             yield from sub.items()
-            del branch
+
+
+def _loaded(f) -> Iterator[tuple]:
+    f.seek(0, os.SEEK_SET)
+    while True:
+        try:
+            yield pickle.load(f)
+        except EOFError:
+            return
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -134,91 +139,97 @@ def _normal(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-def _head(text: bytes) -> bytes:
-    """The key's head: so the root branches evenly, and length and hash come before the text."""
-    h = hashlib.blake2b(text, digest_size=8).digest()
-    return h + len(text).to_bytes(8, "big")
-
-
 def _owner(key, uid: int) -> tuple:
     return (key is not None, key if key is not None else 0, uid)
 
 
-def owners(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "max") -> DataFrame:
-    """One row for each distinct text: text_sha256, keep_uid, keep_id, group_size. docs has a column __uid."""
+_STRINGS = "h long, len long, t binary, id long, uid long, n long"
+_OWNERS = "text_sha256 string, keep_id long, keep_uid long, group_size long"
+
+
+def owners(rows: DataFrame, keep: str = "max") -> DataFrame:
+    """One row for each distinct text of rows (t, id, uid): text_sha256, keep_id, keep_uid, group_size.
+
+    Each task inserts its texts into a trie, and what that holds is dealt by
+    length and hash: equal texts meet once more, one string from each task's trie.
+    """
     first = max if keep == "max" else min
+    strings, found = (pa.schema([(f.name, {"binary": pa.binary(), "string": pa.string()}.get(f.dataType.simpleString(), pa.int64())) for f in StructType.fromDDL(x)]) for x in (_STRINGS, _OWNERS))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(trie):
+        def flush(trie: PatriciaTrie) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
-            for k, o, n in trie.items():
-                rows.append((k, o, n))
-                size += len(k)
+            for t, o, n in trie.items():
+                rows.append({"h": int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "big", signed=True), "len": len(t), "t": t, "id": o[1] if o[0] else None, "uid": o[2], "n": n})
+                size += len(t)
                 if size > B.CHUNK:
-                    yield batch_of(rows)
+                    yield pa.RecordBatch.from_pylist(rows, schema=strings)
                     rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(k[:8], "big", signed=True) for k, _, _ in rows], pa.int64()), pa.array([len(k) - 16 for k, _, _ in rows], pa.int64()), pa.array([k for k, _, _ in rows], pa.binary()), pa.array([o[1] if o[0] else None for _, o, _ in rows], pa.int64()), pa.array([o[2] for _, o, _ in rows], pa.int64()), pa.array([n for _, _, n in rows], pa.int64())], names=["h", "len", "k", "id", "uid", "n"])
+            yield pa.RecordBatch.from_pylist(rows, schema=strings)
 
-        trie, held = PatriciaTrie(first, 1 << 62), 0
+        trie = PatriciaTrie(first, 1 << 62)
         for batch in batches:
             for part in B.slices(batch, "t"):
                 for t, d, u in zip(_normal(part.column("t")), part.column("id").to_pylist(), part.column("uid").to_pylist(), strict=True):
-                    trie.insert(_head(t) + t, _owner(d, u))
+                    trie.insert(t, _owner(d, u))
                 if trie.size > TRIE_BYTES // 2:  # what is kept so far goes on; the rest of the task starts anew
                     yield from flush(trie)
-                    trie, held = PatriciaTrie(first, 1 << 62), held + 1
+                    trie = PatriciaTrie(first, 1 << 62)
         yield from flush(trie)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(first)
         for batch in batches:
-            for k, d, u, n in zip(batch.column("k"), batch.column("id").to_pylist(), batch.column("uid").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                trie.insert(k.as_py(), _owner(d, u), n)
+            for t, d, u, n in zip(batch.column("t"), batch.column("id").to_pylist(), batch.column("uid").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                trie.insert(t.as_py(), _owner(d, u), n)
         rows = []
-        for k, o, n in trie.items():
-            rows.append((hashlib.sha256(k[16:]).hexdigest(), o[2], o[1] if o[0] else None, n))
+        for t, o, n in trie.items():
+            rows.append({"text_sha256": hashlib.sha256(t).hexdigest(), "keep_id": o[1] if o[0] else None, "keep_uid": o[2], "group_size": n})
             if len(rows) == 20_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+                yield pa.RecordBatch.from_pylist(rows, schema=found)
                 rows = []
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+        yield pa.RecordBatch.from_pylist(rows, schema=found)
 
-    names = ["text_sha256", "keep_uid", "keep_id", "group_size"]
-    arrow = pa.schema([(names[0], pa.string()), *((c, pa.int64()) for c in names[1:])])
-    rows = docs.select(F.col(text).alias("t"), F.col(key).cast("long").alias("id"), F.col("__uid").alias("uid"))
-    strings = rows.mapInArrow(local, "h long, len long, k binary, id long, uid long, n long")
-    return strings.repartition("len", "h").mapInArrow(final, "text_sha256 string, keep_uid long, keep_id long, group_size long")
+    return rows.select("t", "id", "uid").mapInArrow(local, _STRINGS).repartition("len", "h").mapInArrow(final, _OWNERS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with __uid, their place in the scan; it is the same whenever the same files are scanned."""
-    return docs.drop("__uid").withColumn("__uid", F.monotonically_increasing_id())
+    """The rows as (row, uid), written once: a struct of all columns and a number that stays with it, however often, by
+    whatever plan and on whatever executors the table is read again."""
+    return written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sha = [hashlib.sha256(t).hexdigest() for part in B.slices(batch, "t") for t in _normal(part.column("t"))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sha, pa.string()), batch.column("uid")], names=["doc_id", "text_sha256", "uid"])
 
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "max") -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, __uid.
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are after A-Z are lower-cased; null counts as
     empty. Of equal texts the largest (keep="min": smallest) id stays; a null id
-    is smaller than all; of rows with equal ids too, one stays. Other columns
-    are not read. Empty tables give no rows.
-    """
-    docs = numbered(docs)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sha = [hashlib.sha256(t).hexdigest() for part in B.slices(batch, "t") for t in _normal(part.column("t"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sha, pa.string()), batch.column("__uid")], names=["doc_id", "text_sha256", "__uid"])
+    is smaller than all; of rows with equal ids too, one stays. A very long text
+    is one string of a trie, whole. Other columns are not read. Empty tables give
+    no rows.
 
-    heads = docs.select(F.col(text).alias("t"), F.col(key).cast("long").alias("doc_id"), "__uid").mapInArrow(digest, "doc_id long, text_sha256 string, __uid long")
-    return heads.join(owners(docs, text, key, keep), "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("__uid") == F.col("keep_uid")).alias("kept"), "text_sha256", "__uid")
+    Groups of at least 1 / HEAVY of all rows, so at most HEAVY of them, find
+    their rows by a broadcast; the others by a join in which no key is hot.
+    """
+    docs = numbered(docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(key).cast("long").alias("id")))
+    rows = docs.select("row.*", "uid")
+    heads = written(rows.mapInArrow(_digests, "doc_id long, text_sha256 string, uid long"), "heads")
+    own = written(owners(rows, keep), "owners")
+    n = heads.count()
+    heavy = F.broadcast(own.where(F.col("group_size") * HEAVY >= n))
+    many = heads.join(heavy, "text_sha256")
+    few = heads.join(heavy.select("text_sha256"), "text_sha256", "left_anti").join(own.where(F.col("group_size") * HEAVY < n), "text_sha256")
+    return many.unionByName(few).select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with their columns."""
+    """The rows of docs that stay, with all their columns: those that exact_groups keeps."""
     docs = numbered(docs)
-    stay = owners(docs, text, key, keep).select(F.col("keep_uid").alias("__uid"))
-    return docs.join(stay, "__uid", "left_semi").drop("__uid")
+    rows = docs.select(F.coalesce(F.col("row")[text], F.lit("")).alias("t"), F.col("row")[key].cast("long").alias("id"), "uid")
+    return docs.join(owners(rows, keep).select(F.col("keep_uid").alias("uid")), "uid", "left_semi").select("row.*")

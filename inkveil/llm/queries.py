@@ -24,7 +24,7 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents")).drop("__uid")
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
 def language_model(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -61,7 +61,7 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("__uid")
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
