@@ -6,10 +6,11 @@ Each shingle sends exponential arrivals at the rate of its weight to random
 registers, until an arrival is later than every register of its document. Bands
 of registers give buckets. Documents of equal words are one class beforehand.
 Classes of a bucket meet its centre, not each other; links are verified exactly
-and joined to components. Buckets that still hold several components get other
-centres for some rounds. What is apart even then is compared whole: small buckets
-by a join; larger ones are united to clusters, and blocks of a cluster meet, where
-an exact bound prunes, texts decide, and only links that join components come out.
+and joined to components, in two waves of bands. Classes that share a bucket with
+another component even then are compared whole and exactly: by the rarest of their
+shingles, of which two similar texts must share one. Small groups meet by a join,
+large ones in blocks, where an exact bound prunes, texts decide, and only links
+that join components come out.
 """
 
 from __future__ import annotations
@@ -22,17 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import written
+from ._shared import dropped, mark, written
 from .exact_dedup import numbered
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.9998.
 BANDS, ROWS = 28, 6
-#: Rounds of other centres; each takes one of SPREAD of a class's buckets that are still mixed.
-CENTRES, SPREAD = 2, 4
-#: Buckets up to SMALL are compared by a join; larger ones in blocks of BLOCK.
-SMALL, BLOCK = 12, 256
+#: Bands of the first and of the second wave of buckets.
+WAVES = (8, 20)
+#: Buckets of up to SMALL classes are compared by a join, larger ones in blocks; both compare all.
+SMALL = 12
+#: Bytes of text of either side of a block.
+BLOCK_BYTES = 1 << 18
+#: Numbers by which shingles are ordered by rarity: counts of their hashes' remainders.
+RARITY = 1 << 18
 _OTHER = 0xD6E8FEB86659FD93
 
 
@@ -44,11 +49,7 @@ def shingles(column: pa.Array, k: int = SHINGLE):
     starts, ends, bound = B.spans(data, offsets, B.ALNUM)
     h = B.hashes(data, starts, ends)
     n = np.diff(bound)
-    prints = []
-    for base in (B._BASE, _OTHER):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * B._pow(base, len(h) + 1)[: len(h)], dtype=np.uint64)])
-        back = B._pow(pow(base, -1, 1 << 64), len(h) + 1)[bound[:-1]]
-        prints.append(B.mix((total[bound[1:]] - total[bound[:-1]]) * back + n.astype(np.uint64)))
+    prints = B.prints(h, bound)
     w = B.window_hashes(h, k)
     doc = np.repeat(np.arange(len(n)), n)[: len(w)]
     whole = np.arange(len(w)) + k <= bound[1:][doc]
@@ -128,15 +129,14 @@ def _verify(least: float):
 
 
 def _meet(least: float):
-    """Of two blocks of a cluster (or one with itself): links between components, as many as join them; a pair of one
-    component by then, or whose shared shingles cannot give least, is not looked at.
+    """Of one block, a left and a right side (side 0 and 1; 2 is both): links between components, as many as join them. A
+    pair of one component by then, or whose shared shingles cannot give least, is not looked at.
 
-    The bound is exact: a term of the probability Jaccard, 1 / sum of max(x / x_i, y / y_i), is at most the less of x_i and
-    y_i as shares of their bags."""
+    Of two sets that is their Jaccard similarity itself. The bound for bags is exact: a term of the probability Jaccard,
+    1 / sum of max(x / x_i, y / y_i), is at most the less of x_i and y_i as shares of their bags."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, i, j = (x.as_py() for x in key)
-        c, place = table.column("c").to_numpy(), table.column("place").to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        c, side = table.column("c").to_numpy(), table.column("side").to_numpy()
         _, k = np.unique(table.column("k").to_numpy(), return_inverse=True)
         if k.max(initial=0) == 0:
             return pa.table({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "s": np.zeros(0)})
@@ -145,16 +145,27 @@ def _meet(least: float):
         w, count, at = w[order], count[order], np.searchsorted(doc[order], np.arange(len(n) + 1))
         doc = np.repeat(np.arange(len(n)), np.diff(at))
         share = count / np.bincount(doc, count, len(n))[doc]
+        size = np.diff(at)
+        plain = np.bincount(doc, count, len(n)) == size
         _, code = np.unique(w, return_inverse=True)
-        other = np.flatnonzero(place[doc] == j)
-        doc, other_code, other_share = doc[other], code[other], share[other]
+        right = side[doc] > 0
+        sets, bags = np.flatnonzero(right & plain[doc]), np.flatnonzero(right & ~plain[doc])
         mine = np.zeros(code.max(initial=-1) + 1)
-        out, there = [], np.flatnonzero(place == j)
-        for a in np.flatnonzero(place == i):
+        out, there = [], np.flatnonzero(side > 0)
+        for a in np.flatnonzero(side != 1):
             near = there[k[there] != k[a]]
+            if not len(near):
+                continue
             own = slice(at[a], at[a + 1])
             mine[code[own]] = share[own]
-            most = np.bincount(doc, np.minimum(mine[other_code], other_share), len(n))[near]
+            most = np.zeros(len(n))
+            if plain[a]:
+                both = np.rint(np.bincount(doc[sets], mine[code[sets]], len(n)) * size[a])
+                most = both / (size[a] + size - both)
+            bounded = bags if plain[a] else np.flatnonzero(right)
+            if len(bounded):
+                most += np.bincount(doc[bounded], np.minimum(mine[code[bounded]], share[bounded]), len(n))
+            most = most[near]
             mine[code[own]] = 0
             near = near[np.argsort(-most, kind="stable")[: (most >= least - 1e-9).sum()]]
             for b in near:
@@ -170,10 +181,41 @@ def _meet(least: float):
     return run
 
 
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(RARITY, np.int64)
+    for batch in batches:
+        for part in B.slices(batch, "t"):
+            total += np.bincount((shingles(part.column("t"))[1] % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
+
+
+def _prefixes(shared, least: float):
+    """(b, c, k): of each text the necessary prefix of its shingles b in the shared order.
+
+    Shares of two bags that are similar enough overlap by least. So what either has before their first common shingle,
+    in whatever order all texts share, is at most 1 - least: that shingle is in both prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in B.slices(batch, "t"):
+                doc, w, count, _, n = shingles(part.column("t"))
+                order = np.lexsort((w, shared.value[(w % np.uint64(RARITY)).astype(np.int64)], doc))
+                doc, w, count = doc[order], w[order], count[order].astype(float)
+                share = count / np.bincount(doc, count, len(n))[doc]
+                before = np.cumsum(share) - share
+                ok = before - before[np.searchsorted(doc, doc)] <= 1 - least + 1e-6
+                c, k = (part.column(x).to_numpy()[doc[ok]] for x in "ck")
+                yield pa.RecordBatch.from_arrays([pa.array(w[ok].view(np.int64)), pa.array(c), pa.array(k)], names=["b", "c", "k"])
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(v, comp): for each end of an edge (x, y) the smallest vertex that it reaches. Labels go to neighbours and jump to
-    their label's label until none changes; each round is written."""
-    both = edges.select("x", "y").union(edges.select("y", "x"))
+    their label's label until none changes; each round is written, and the one before it removed."""
+    spark, since = edges.sparkSession, mark()
+    both = written(edges.select("x", "y").union(edges.select("y", "x")), "edges")
     labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("comp")), name)
     while True:
         near = both.join(labels, both.y == labels.v).groupBy("x").agg(F.min("comp").alias("m"))
@@ -181,93 +223,111 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         jump = labels.select(F.col("v").alias("c"), F.col("comp").alias("far"))
         new = written(step.join(jump, "c", "left").select("v", F.least("c", F.coalesce("far", "c")).alias("comp"), "was"), name)
         if new.where("comp <> was").isEmpty():
+            dropped(spark, since, new)
             return new.select("v", "comp")
+        dropped(spark, since, both, new)
         labels = new.select("v", "comp")
 
 
-def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (smallest id of its component; the row's own if alone), n_links
-    (verified links of its words' class among those that were needed to find the component), kept (one row of each component: the
-    one with the smallest id, then the first), __uid.
-
-    Texts without words and null texts are never linked and always kept. Null ids
-    come last. Repeated rows are one class. Other columns are not read; an empty
-    table gives no rows.
-    """
-    docs = numbered(docs)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col("__uid").alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def centred(members: DataFrame) -> DataFrame:
+    """Pairs (x, y) of classes: in each bucket b that holds several components k, every member c of another component meets
+    the bucket's centre, one of its members by a hash."""
+    centre = F.min(F.struct(F.xxhash64("c").alias("r"), "c", "k")).alias("m")
+    centres = members.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), centre).where("lo <> hi").select("b", "m")
+    return members.join(centres, "b").where("k <> m.k").select(F.col("c").alias("x"), F.col("m.c").alias("y")).distinct()
+
+
+def _blocks(members: DataFrame, block_bytes: int) -> DataFrame:
+    """Members (u, c, k, t) of clusters u as blocks (u, kind, i, j, side, c, k, t) in which each two members of different
+    components meet. The largest component's members meet the others alone, and block_bytes of either side at once."""
+    sizes = members.groupBy("u", "k").agg(F.sum(F.octet_length("t") + 64).alias("bytes"))
+    sizes = sizes.groupBy("u").agg(F.max(F.struct("bytes", "k")).alias("main"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where("n > 1")
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / block_bytes)).cast("int")
+    sizes = sizes.select("u", F.col("main.k").alias("main"), parts(F.col("main.bytes")).alias("n_main"), parts(F.col("bytes") - F.col("main.bytes")).alias("n_rest"))
+    m = members.join(sizes, "u").withColumn("is_main", F.col("k") == F.col("main"))
+    m = m.withColumn("at", F.pmod(F.xxhash64("c", F.lit(99)), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    block = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    rest, main = F.sequence(F.lit(0), F.col("n_rest") - 1), F.sequence(F.lit(0), F.col("n_main") - 1)
+    of_main = F.transform(rest, lambda o: block(1, F.col("at"), o, F.lit(0)))
+    among = F.transform(rest, lambda o: block(0, F.least("at", o), F.greatest("at", o), F.when(F.col("at") == o, 2).when(F.col("at") < o, 0).otherwise(1)))
+    of_rest = F.concat(among, F.transform(main, lambda o: block(1, o, F.col("at"), F.lit(1))))
+    return m.select("u", "c", "k", "t", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("o")).select("u", "o.*", "c", "k", "t")
+
+
+def groups(rows: DataFrame, least: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """See near_groups; rows (id, t, uid) must be a written table."""
     sketch = written(rows.mapInArrow(_sketch, "id long, uid long, p long, q long, n long, bands array<long>"), "sketch")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     words = sketch.where("n > 0")
     classes = written(words.groupBy("p", "q").agg(F.min(order).alias("first"), F.first("bands").alias("bands")).select("p", "q", F.col("first.uid").alias("c"), F.col("first.id").alias("id"), "bands"), "classes")
-    buckets = classes.select("c", F.explode("bands").alias("b"))
-    rank = lambda c: F.xxhash64(c)
-    centres = buckets.groupBy("b").agg(F.min(F.struct(rank("c").alias("r"), "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("b", F.col("m.c").alias("y"), F.col("m.r").alias("r"))
-    pairs = written(buckets.join(centres, "b").where("c <> y").groupBy(F.col("c").alias("x"), "y").agg(F.first("r").alias("r")), "pairs")
-    inside = written(pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).distinct(), "inside")
-    texts = written(rows.select("uid", "t").join(inside, "uid", "left_semi"), "texts")
-
-    def verified(p: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("uid").alias("x"), F.col("t").alias("tx")), texts.select(F.col("uid").alias("y"), F.col("t").alias("ty"))
-        return written(p.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(least), "x long, y long, s double"), "links")
-
-    def apart(p: DataFrame, comp: DataFrame) -> DataFrame:
-        """The pairs whose ends are not yet in one component."""
-        a, b = comp.select(F.col("v").alias("x"), F.col("comp").alias("cx")), comp.select(F.col("v").alias("y"), F.col("comp").alias("cy"))
-        return p.join(a, "x", "left").join(b, "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
-
-    first = pairs.groupBy("x").agg(F.min(F.struct("r", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
-    links = verified(first)
-    comp = components(links)
-    # Centres of other bands, where they may still join something
-    rest = written(apart(pairs.select("x", "y").join(first, ["x", "y"], "left_anti"), comp).select("x", "y"), "rest")
-    if not rest.isEmpty():
-        links = links.union(verified(rest))
-        comp = components(links)
-    # Buckets whose members are still in several components: other centres, then all that is apart
+    links = classes.select(F.col("c").alias("x"), F.col("c").alias("y")).where("1 = 0")
+    comp = links.toDF("v", "comp")
+
     def named(table: DataFrame) -> DataFrame:
-        return table.join(comp.withColumnRenamed("v", "c"), "c", "left").select("b", "c", F.coalesce("comp", "c").alias("k"))
-
-    several = lambda t: t.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("b")
-    held = named(buckets.join(centres.select("b"), "b"))
-    mixed = written(held.join(several(held), "b").select("b", "c"), "mixed")
-    if not mixed.isEmpty():
-        for turn in range(CENTRES):
-            now = named(mixed.where(F.pmod(F.xxhash64("b", F.lit(turn)), F.lit(SPREAD)) == 0))
-            centre = now.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), F.col("c").alias("y"), F.col("k").alias("ky"))).alias("m")).where("lo <> hi").select("b", "m")
-            p = written(now.join(centre, "b").where("k <> m.ky").select(F.col("c").alias("x"), F.col("m.y").alias("y")).distinct(), "turn")
-            if not p.isEmpty():
-                links = links.union(verified(p))
-                comp = components(links)
-        now = named(mixed)
-        sizes = now.groupBy("b", "k").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "k")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1").select("b", "n", F.col("main.k").alias("main"))
-        now = written(now.join(sizes, "b"), "apart")
-        small = now.where(F.col("n") <= SMALL)
-        p = small.select("b", F.col("c").alias("x"), "k").join(small.select("b", F.col("c").alias("y"), F.col("k").alias("ky")), "b").where("k < ky").select("x", "y").distinct()
-        large = now.where(F.col("n") > SMALL).select("b", "c")
-        clusters = components(large.join(large.groupBy("b").agg(F.min("c").alias("y")), "b").where("c <> y").select(F.col("c").alias("x"), "y").distinct())
-        members = clusters.select(F.col("comp").alias("u"), F.col("v").alias("c")).join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("k", F.coalesce("comp", "c")).drop("comp")
-        members = members.join(members.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "u")
-        members = members.join(texts.withColumnRenamed("uid", "c"), "c")
-        place = F.pmod(F.xxhash64("c", F.lit(99)), F.col("parts")).cast("int")
-        members = members.select("u", "c", "k", "t", place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        met = members.withColumn("i", F.least("place", "o")).withColumn("j", F.greatest("place", "o")).groupBy("u", "i", "j").applyInArrow(_meet(least), "x long, y long, s double")
-        links = links.union(written(met, "met"))
-        tested = first.union(rest)
-        p = written(p.join(tested.union(tested.select("y", "x")), ["x", "y"], "left_anti"), "others")
-        links = links.union(verified(p))
+        return table.join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("k", F.coalesce("comp", "c")).drop("comp")
+
+    def several(table: DataFrame) -> DataFrame:
+        """The buckets that hold several components, and the number of their members."""
+        return table.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("b", "n")
+
+    def unite(found: DataFrame) -> None:
+        nonlocal links, comp
+        links = links.unionByName(found.select("x", "y"))
         comp = components(links)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left, right = rows.select(F.col("uid").alias("x"), F.col("t").alias("tx")), rows.select(F.col("uid").alias("y"), F.col("t").alias("ty"))
+        return written(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(least), "x long, y long, s double"), "links")
+
+    # Members of a bucket meet its centre; in the second wave, where the first has not joined them
+    at = 0
+    for n in WAVES:
+        own = named(classes.select("c", F.slice("bands", at + 1, n).alias("own"))).select("c", "k", F.explode("own").alias("b"))
+        unite(verify(written(centred(own), "pairs")))
+        at += n
+    # What still shares a bucket with another component, compared whole
+    held = named(classes.select("c", "bands")).select("c", "k", F.explode("bands").alias("b"))
+    apart = written(held.join(several(held).select("b"), "b").select("c", "k").distinct(), "apart")
+    apart = written(apart.join(rows.select(F.col("uid").alias("c"), "t"), "c"), "apart")
+    counts = apart.select("t").mapInArrow(_rarity, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    rarity = np.zeros(RARITY, np.int64)
+    rarity[counts["i"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    rare = written(apart.mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(rarity), least), "b long, c long, k long"), "rare")
+    rare = written(rare.join(several(rare), "b"), "shared")
+    few = rare.where(F.col("n") <= SMALL)
+    pairs = few.select("b", F.col("c").alias("x"), "k").join(few.select("b", F.col("c").alias("y"), F.col("k").alias("ky")), "b").where("k < ky").select("x", "y").distinct()
+    many = rare.where(F.col("n") > SMALL).select("b", "c")
+    clusters = components(many.join(many.groupBy("b").agg(F.min("c").alias("y")), "b").where("c <> y").select(F.col("c").alias("x"), "y").distinct())
+    members = clusters.select(F.col("comp").alias("u"), F.col("v").alias("c")).join(apart, "c")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    met = _blocks(members, block_bytes).repartition(tasks, "u", "kind", "i", "j").groupBy("u", "kind", "i", "j").applyInArrow(_meet(least), "x long, y long, s double")
+    unite(verify(written(pairs, "pairs")).unionByName(written(met, "met")))
+
     degree = links.select("x").union(links.select("y")).groupBy("x").agg(F.count("*").alias("n_links")).withColumnRenamed("x", "c")
-    label = classes.select("p", "q", "c", "id").join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(degree, "c", "left")
-    head = label.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("c").alias("uid"))).alias("h"))
-    label = label.join(head, "comp").select("p", "q", "n_links", F.col("h.id").alias("class_id"), F.col("h.uid").alias("stays"))
-    joined = words.select("id", "uid", "p", "q").join(label, ["p", "q"]).select(F.col("id").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("uid") == F.col("stays")).alias("kept"), F.col("uid").alias("__uid"))
-    alone = sketch.where("n = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), F.col("uid").alias("__uid"))
+    label = named(classes.select("p", "q", "c", "id")).join(degree, "c", "left")
+    head = label.groupBy("k").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("c").alias("uid"))).alias("h"))
+    label = label.join(head, "k").select("p", "q", "n_links", F.col("h.id").alias("class_id"), F.col("h.uid").alias("stays"))
+    joined = words.select("id", "uid", "p", "q").join(label, ["p", "q"]).select(F.col("id").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("uid") == F.col("stays")).alias("kept"), "uid")
+    alone = sketch.where("n = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "uid")
     return joined.unionByName(alone)
 
 
-def deduplicated(docs: DataFrame, **columns: str) -> DataFrame:
-    """The rows of docs that stay, with their columns: all but those that near_groups does not keep."""
-    docs = numbered(docs)
-    gone = near_groups(docs, **columns).where(~F.col("kept")).select("__uid")
-    return docs.join(gone, "__uid", "left_anti").drop("__uid")
+def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (smallest id of its component; the row's own if alone), n_links
+    (verified links of its words' class among those that were needed to find the component), kept (one row of each
+    component: the one with the smallest id, then the first).
+
+    Null texts and texts without words are never linked and always kept. Null ids
+    come last. Repeated rows and rows of equal words are one class; ties go to the
+    first row. A very long text is taken alone and whole. Other columns are not
+    read; an empty table gives no rows.
+    """
+    rows = numbered(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")))
+    return groups(rows.select("row.*", "uid"), least).drop("uid")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, with all their columns: those that near_groups keeps."""
+    rows = numbered(docs)
+    gone = groups(rows.select(F.col("row")[key].cast("long").alias("id"), F.coalesce(F.col("row")[text], F.lit("")).alias("t"), "uid"), least).where(~F.col("kept")).select("uid")
+    return rows.join(gone, "uid", "left_anti").select("row.*")
