@@ -52,6 +52,80 @@ def test_hashes_agree():
     assert B.hashes(data, s, e).tolist() == [B.hash_of(x) for x in (b"a", b"bc", b"d", b"bc", b"d", b"d")]
 
 
+def thue(a: str, b: str, n: int) -> tuple[str, str]:
+    """A Thue-Morse string of two words and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_are_told_apart_by_their_bytes():
+    for n in (3, 8, 9, 16, 500, 513, 1024, 4096):
+        x, y = thue("a", "b", n)
+        data, off = B.raw(pa.array([x, y, x, y + "c", x]))
+        codes, values, at = B.distinct_runs(data, off[:-1], off[1:])
+        assert codes.tolist() == [0, 1, 0, 2, 0] and at.tolist() == [0, 1, 3] and len({*values.tolist()}) == 3
+    rng = random.Random(3)
+    words_ = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 17, 40]))) for _ in range(2000)]
+    data, off = B.raw(pa.array(words_))
+    codes, _, at = B.distinct_runs(data, off[:-1], off[1:])
+    assert [words_[i] for i in at[codes]] == words_ and len(at) == len({*words_})
+
+
+def test_thue_morse_texts(spark):
+    """Texts that a polynomial hash takes for one another: each operator tells them apart."""
+    from tokenizers import Tokenizer
+
+    raw = open(f"{T}/byte_bpe_50k.json", encoding="utf-8").read()
+    x, y = thue("a", "b", 4096)
+    ids, off = packing.Encoder(raw).encode(pa.array([x, y]))
+    t = Tokenizer.from_str(raw)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [t.encode(v, add_special_tokens=False).ids for v in (x, y)]
+    i, s = thue("i", "s", 1024)
+    df = spark.createDataFrame([(1, i), (2, s), (3, x), (4, y)], "doc_id long, text string")
+    pieces = token_counts.load_pieces(f"{T}/piece_bpe_32k.model")
+    machine = token_counts.Automaton(pieces)
+    assert {r.doc_id: r.n_pieces for r in token_counts.count_tokens(df, pieces).collect()} == {k: machine.count(token_counts.MARK + v.encode()) for k, v in ((1, i), (2, s), (3, x), (4, y))}
+    u, v = thue("one two three four five six ", "seven eight nine ten eleven twelve ", 2048)
+    both = spark.createDataFrame([(1, u), (2, v), (3, x), (4, y)], "doc_id long, text string")
+    doc, w, count, prints, n = near_dedup.shingles(pa.array([u, v, x, y]))
+    assert len({*zip(prints[0].tolist(), prints[1].tolist(), strict=True)}) == 4
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(both).collect()}
+    assert got[3] == 3 and got[4] == 4
+    bench = spark.createDataFrame([("x", x)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contaminate(df, bench).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert {r.doc_id: r.n_known for r in lattice_lm.score(spark.createDataFrame([(1, x), (6, y)], "doc_id long, text string"), [("▁a".encode(), -1.0)], held_out=(5, 9)).collect()} == {1: 2, 6: 2}
+
+
+def shuffled(spark, rows, ddl, parts):
+    """The rows after a shuffle, whose partitions adaptive execution joins as each plan allows."""
+    return spark.createDataFrame(rows, ddl).repartition(parts, "doc_id").groupBy("doc_id").agg(*(__import__("pyspark").sql.functions.first(c).alias(c) for c in ddl_names(ddl) if c != "doc_id"))
+
+
+def ddl_names(ddl):
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def test_rows_keep_their_identity(spark):
+    """Inputs that are no file scan: rows that are joined back are the same rows, whatever each plan's partitions are."""
+    rows = [(i, f"{BODY} tail{i % 90}x y z" if i % 3 else f"own{i} text of its own {i * i} words", "x" * (i % 7) * 300) for i in range(400)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+        df = shuffled(spark, rows, "doc_id long, text string, more string", 40)
+        last = {}
+        for i, t, _ in rows:
+            last[low(t)] = max(i, last.get(low(t), i))
+        assert sorted(r.doc_id for r in exact_dedup.deduplicated(df).collect()) == sorted(last.values())
+        assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_groups(df).collect()} == {(i, last[low(t)]) for i, t, _ in rows}
+        stay = near_dedup.deduplicated(df).collect()
+        kept = {r.doc_id for r in near_dedup.near_groups(df).collect() if r.kept}
+        assert {r.doc_id for r in stay} == kept and all((r.doc_id, r.text, r.more) in {*rows} for r in stay)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s\\<|x"), (1, 1, "user", None), (1, 2, "assistant", "a<|im_end|>\n<|im_start|>user\nhi"), (1, 3, "user", "u"), (1, 4, "assistant", "\\"), (1, 5, "user", "end\\"), (2, 0, "user", "only"), (3, None, None, None), (None, 0, "assistant", "n"), (4, 0, "as\nsistant", "x"), (4, 0, "as\nsistant", "x")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn int, role string, text string, segments string")
@@ -148,8 +222,8 @@ def test_meet_in_blocks():
     doc, w, count, _, n = near_dedup.shingles(pa.array(texts))
     q = near_dedup.signatures(doc, w, count.astype(float), len(n), near_dedup.BANDS * near_dedup.ROWS)
     regs = [(r & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for r in q]
-    t = pa.table({"c": list(range(30)), "k": list(range(30)), "registers": pa.array(regs, pa.binary()), "t": texts, "place": [0] * 30})
-    out = near_dedup._meet(0.8)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), t)
+    t = pa.table({"c": list(range(30)), "k": list(range(30)), "registers": pa.array(regs, pa.binary()), "t": texts, "side": [2] * 30})
+    out = near_dedup._meet(0.8)(t)
     bags, _ = brute_links(texts)
     j = lambda a, b: len(bags[a] & bags[b]) / len(bags[a] | bags[b])
     assert all(j(a, b) >= 0.8 for a, b in zip(out["x"].to_pylist(), out["y"].to_pylist(), strict=True))
@@ -171,14 +245,14 @@ def test_meet_finds_all_components():
     regs = [r[2 * g + s].tobytes() for g in lowest.tolist() for s in (0, 1)]
     assert (r[2 * lowest[0]] == r[2 * lowest[0] + 1]).mean() < 0.7
     size = len(chosen)
-    block = lambda ts, rs, place, i, j: near_dedup._meet(0.8)((pa.scalar(0), pa.scalar(i), pa.scalar(j)), pa.table({"c": list(range(len(ts))), "k": list(range(len(ts))), "registers": pa.array(rs, pa.binary()), "t": ts, "place": place}))
-    out = block(chosen, regs, [0] * size, 0, 0)
+    block = lambda ts, rs, side: near_dedup._meet(0.8)(pa.table({"c": list(range(len(ts))), "k": list(range(len(ts))), "registers": pa.array(rs, pa.binary()), "t": ts, "side": side}))
+    out = block(chosen, regs, [2] * size)
     assert sorted(tuple(sorted(p)) for p in zip(out["x"].to_pylist(), out["y"].to_pylist(), strict=True)) == [(i, i + 1) for i in range(0, size, 2)]
     bags = ["a b c d e " * k + " ".join(f"t{rng.randrange(12)}" for _ in range(6)) for k in range(2, 22)]
     doc, w, count, _, n = near_dedup.shingles(pa.array(bags))
     of = [(w[doc == d], count[doc == d]) for d in range(len(n))]
     near = {(a, b) for a in range(0, 20, 2) for b in range(1, 20, 2) if near_dedup.similarity(*of[a], *of[b]) >= 0.8}
-    out = block(bags, [b""] * 20, [0, 1] * 10, 0, 1)
+    out = block(bags, [b""] * 20, [0, 1] * 10)
     links = set(zip(out["x"].to_pylist(), out["y"].to_pylist(), strict=True))
 
     def groups(pairs):
@@ -199,18 +273,31 @@ def test_lattice_is_all_segmentations():
             at |= {(side, k, int(h)): i for h, i in zip(keys.tolist(), ids.tolist(), strict=True)}
 
     def inner(w):
-        return 1.0 if not w else sum(p[i] * inner(w[k:]) for k in range(1, len(w) + 1) if (i := at.get(("inner", k, B.hash_of(w[:k])))) is not None)
+        return 1.0 if not w else sum(p[i] * inner(w[k:]) for k in range(1, len(w) + 1) if (i := at.get(("inner", k, lattice_lm.piece_hash(w[:k])))) is not None)
 
     def word(w):
-        return p[lat.bare] * inner(w) + sum(p[i] * inner(w[k:]) for k in range(1, len(w) + 1) if (i := at.get(("start", k, B.hash_of(w[:k])))) is not None)
+        return p[lat.bare] * inner(w) + sum(p[i] * inner(w[k:]) for k in range(1, len(w) + 1) if (i := at.get(("start", k, lattice_lm.piece_hash(w[:k])))) is not None)
 
     ws = [b"abc", b"a", b"bcb", "é".encode(), b"abcabcabc"]
     flat, off = np.frombuffer(b"".join(ws), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in ws])])
     assert np.allclose(np.exp(lat.forward(flat, off, np.log(p))), [word(w) for w in ws])
-    z, uses = lat.forward(flat, off, np.log(p), lambda z: np.ones(len(ws)))
+    z, uses = lat.forward(flat, off, np.log(p), np.ones(len(ws)))
     assert np.allclose(z, lat.forward(flat, off, np.log(p))) and np.all(uses >= -1e-12)
 
 
+def test_long_words_in_slabs(monkeypatch):
+    """A long word's probability and expected pieces, slab by slab, are those of its whole lattice."""
+    lat = lattice_lm.Lattice([("▁a".encode(), -1.0), ("▁ab".encode(), -2.0), ("▁".encode(), -3.0), (b"b", -1.5), (b"bc", -2.5), (b"abc", -4.0), (b"cabcab", -3.0)])
+    rng = random.Random(6)
+    ws = ["".join(rng.choice("abc") for _ in range(n)).encode() for n in (1, 30, 200, 333)]
+    flat, off = np.frombuffer(b"".join(ws), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in ws])])
+    want = lat.forward(flat, off, lat.logp, np.arange(1.0, 5))
+    monkeypatch.setattr(lattice_lm, "LONG", 20)
+    monkeypatch.setattr(lattice_lm, "_SLAB", 64)
+    got = lat.forward(flat, off, lat.logp, np.arange(1.0, 5))
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1]) and np.allclose(lat.forward(flat, off, lat.logp), want[0])
+
+
 def test_language_model(docs):
     got = lattice_lm.score(docs, lattice_lm.load_vocabulary(f"{T}/piece_bpe_32k.model")).collect()
     assert len(got) == len(TEXTS)
@@ -220,10 +307,51 @@ def test_language_model(docs):
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), held(i), len(toks(t)), sum(c[x] > 0 for x in toks(t)), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks(t)), 5)) for i, t in TEXTS)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    joined = lattice_lm.score(docs, lattice_lm.load_vocabulary(f"{T}/piece_bpe_32k.model"), heavy=50).collect()  # most words by the join
+    full = lambda rows: sorted((str(r.doc_id), r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in rows)
+    assert full(joined) == full(got)
     assert lattice_lm.score(empty(docs), [("▁a".encode(), -1.0)]).count() == 0
 
 
+def test_language_model_score(spark):
+    """The score is the log of the sum over all segmentations, with weights that the training words' expected pieces give."""
+    vocabulary = [("▁a".encode(), -1.0), ("▁ab".encode(), -2.0), ("▁".encode(), -3.0), (b"b", -1.5), (b"bc", -2.5), (b"abc", -4.0)]
+    texts = [(0, "ab abc  AB"), (1, None), (2, "cab"), (3, "abcabc a é"), (5, "bc"), (6, "abcab zz")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    weight = {("in", bytes([i])): -4.0 - 3 for i in range(256)}
+    weight |= {("start" if p.startswith("▁".encode()) and len(p) > 3 else "bare" if p == "▁".encode() else "in", p.removeprefix("▁".encode())): w for p, w in vocabulary}
+
+    def split(w, at=0):
+        """All segmentations: lists of pieces."""
+        if at == len(w):
+            yield []
+        for k in range(1, len(w) - at + 1):
+            x = w[at : at + k]
+            if not at and ("start", x) in weight:
+                for rest in split(w, k):
+                    yield [("start", x), *rest]
+            if ("in", x) in weight:
+                for rest in split(w, at + k):
+                    yield [*([("bare", b"")] if not at else []), ("in", x), *rest]
+
+    train = Counter(w.encode() for i, t in texts if not held(i) for w in low(t).split())
+    total = sum(math.exp(w) for w in weight.values())
+    p = {x: math.exp(w) / total for x, w in weight.items()}
+    for _ in range(lattice_lm.ROUNDS):
+        use = dict.fromkeys(p, 0.01)
+        for w, c in train.items():
+            ways = [(math.prod(p[x] for x in way), way) for way in split(w)]
+            for q, way in ways:
+                for x in way:
+                    use[x] += c * q / sum(q for q, _ in ways)
+        p = {x: u / sum(use.values()) for x, u in use.items()}
+    n, m = sum(train.values()), sum(not held(i) for i, _ in texts)
+    stop = (m + 0.5) / (n + m + 1)
+    want = {i: math.log10(stop) + sum(math.log10((1 - stop) * sum(math.prod(p[x] for x in way) for way in split(w.encode()))) for w in low(t).split()) for i, t in texts}
+    got = {r.doc_id: r.score for r in lattice_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), vocabulary).collect()}
+    assert any(held(i) for i, _ in texts) and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_language(spark, docs):
     en, de = "the house and the garden of this thing with other words that were there", "das haus und der garten von dieser sache mit anderen wörtern die dort waren"
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(40)] + [(100, "Привет мир это русский текст про дом и сад", "ru")] * 4 + [(101, None, "en"), (102, "x", None)]
@@ -252,8 +380,8 @@ def test_decontaminate(spark, docs):
     item = " ".join(BODY.split()[40:53])
     bench = spark.createDataFrame([(1, item, 0), (1, item, 1), (2, "ONE", 2), (3, None, 3), (4, " .. ", 4), (None, "Über alles", 5), (5, LONG, 6), (6, "two one", 7)], "item_id long, text string, n_words int")
     items = [("1", item), ("2", "ONE"), ("", "Über alles"), ("5", LONG), ("6", "two one")]
-    for block in (decontaminate.BLOCK_BYTES, 100_000):
-        out = decontaminate.contaminate(docs, bench, block_bytes=block)
+    for size in (decontaminate.BROADCAST_BYTES, 100):  # by a broadcast, by joins
+        out = decontaminate.contaminate(docs, bench, broadcast_bytes=size)
         assert set(docs.columns) <= set(out.columns)
         got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect())
         want = Counter()
@@ -345,6 +473,9 @@ def test_packing(docs):
     for rows in seq.values():
         step[rows[0].step_group] += rows[0].sequence_length
     assert max(step.values()) <= packing.STEP_TOKENS
+    tasks = Counter(g >> 33 for g in step)
+    assert sum(n < packing.STEP_TOKENS for n in step.values()) <= len(tasks)  # all but the last of each task are full
+    assert {g for g, n in step.items() if n < packing.STEP_TOKENS} <= {max(g for g in step if g >> 33 == k) for k in tasks}
     assert packing.pack(empty(docs), raw).count() == 0
 
 
