@@ -31,7 +31,7 @@ SIMILARITY = 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.9998.
 BANDS, ROWS = 28, 6
 #: Bands of the first and of the second wave of buckets.
-WAVES = (8, 20)
+WAVES = ((0, 8), (8, BANDS))
 #: Buckets of up to SMALL classes are compared by a join, larger ones in blocks; both compare all.
 SMALL = 12
 #: Bytes of text of either side of a block.
@@ -276,19 +276,22 @@ def groups(rows: DataFrame, least: float = SIMILARITY, block_bytes: int = BLOCK_
         comp = components(links)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = rows.select(F.col("uid").alias("x"), F.col("t").alias("tx")), rows.select(F.col("uid").alias("y"), F.col("t").alias("ty"))
+        left, right = texts.select(F.col("c").alias("x"), F.col("t").alias("tx")), texts.select(F.col("c").alias("y"), F.col("t").alias("ty"))
         return written(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(_verify(least), "x long, y long, s double"), "links")
 
+    # The buckets of more than one class, and the texts of their members: all that is looked at from here on
+    bands = classes.select("c", F.posexplode("bands").alias("band", "b"))
+    common = bands.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    buckets = written(bands.join(common, "b").select("band", "b", "c"), "buckets")
+    texts = written(rows.select(F.col("uid").alias("c"), "t").join(buckets.select("c").distinct(), "c"), "texts")
     # Members of a bucket meet its centre; in the second wave, where the first has not joined them
-    at = 0
-    for n in WAVES:
-        own = named(classes.select("c", F.slice("bands", at + 1, n).alias("own"))).select("c", "k", F.explode("own").alias("b"))
+    for since, until in WAVES:
+        own = named(buckets.where((F.col("band") >= since) & (F.col("band") < until)))
         unite(verify(written(centred(own), "pairs")))
-        at += n
     # What still shares a bucket with another component, compared whole
-    held = named(classes.select("c", "bands")).select("c", "k", F.explode("bands").alias("b"))
+    held = named(buckets)
     apart = written(held.join(several(held).select("b"), "b").select("c", "k").distinct(), "apart")
-    apart = written(apart.join(rows.select(F.col("uid").alias("c"), "t"), "c"), "apart")
+    apart = written(apart.join(texts, "c"), "apart")
     counts = apart.select("t").mapInArrow(_rarity, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     rarity = np.zeros(RARITY, np.int64)
     rarity[counts["i"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
