@@ -44,19 +44,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Removes the tables written since that mark (see mark) but those that one of keep reads."""
-    used = "".join(x for df in keep for x in df.inputFiles())
-    for entry in _written[since:]:
-        if entry[0] is spark and entry[1].rpartition("/")[2] not in used:
-            discard(*entry)
-            _written.remove(entry)
-
-
 def mark() -> int:
     return len(_written)
 
 
+def since(place: int) -> list[tuple[SparkSession, str]]:
+    """The tables written since that mark."""
+    return _written[place:]
+
+
+def free(tables: list[tuple[SparkSession, str]], *keep: DataFrame) -> None:
+    """Removes these tables but those that one of keep reads."""
+    used = "".join(x for df in keep for x in df.inputFiles()) if tables else ""
+    for entry in tables:
+        if entry[1].rpartition("/")[2] not in used and entry in _written:
+            discard(*entry)
+            _written.remove(entry)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a scratch table."""
     with contextlib.suppress(Exception):

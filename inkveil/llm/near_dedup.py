@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import dropped, mark, written
+from ._shared import free, mark, since, written
 from .exact_dedup import numbered
 
 SHINGLE = 5
@@ -214,7 +214,7 @@ def _prefixes(shared, least: float):
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(v, comp): for each end of an edge (x, y) the smallest vertex that it reaches. Labels go to neighbours and jump to
     their label's label until none changes; each round is written, and the one before it removed."""
-    spark, since = edges.sparkSession, mark()
+    before = mark()
     both = written(edges.select("x", "y").union(edges.select("y", "x")), "edges")
     labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("comp")), name)
     while True:
@@ -223,9 +223,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         jump = labels.select(F.col("v").alias("c"), F.col("comp").alias("far"))
         new = written(step.join(jump, "c", "left").select("v", F.least("c", F.coalesce("far", "c")).alias("comp"), "was"), name)
         if new.where("comp <> was").isEmpty():
-            dropped(spark, since, new)
+            free(since(before), new)
             return new.select("v", "comp")
-        dropped(spark, since, both, new)
+        free(since(before), both, new)
         labels = new.select("v", "comp")
 
 
@@ -285,8 +285,8 @@ def groups(rows: DataFrame, least: float = SIMILARITY, block_bytes: int = BLOCK_
     buckets = written(bands.join(common, "b").select("band", "b", "c"), "buckets")
     texts = written(rows.select(F.col("uid").alias("c"), "t").join(buckets.select("c").distinct(), "c"), "texts")
     # Members of a bucket meet its centre; in the second wave, where the first has not joined them
-    for since, until in WAVES:
-        own = named(buckets.where((F.col("band") >= since) & (F.col("band") < until)))
+    for first, last in WAVES:
+        own = named(buckets.where((F.col("band") >= first) & (F.col("band") < last)))
         unite(verify(written(centred(own), "pairs")))
     # What still shares a bucket with another component, compared whole
     held = named(buckets)

@@ -544,3 +544,48 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def pipeline_stages(texts, bench):
+    """Which rows each of the first four stages keeps, by plain Python; texts are told apart well enough for every word to count."""
+    letters = [r for r in texts if any(c.isalpha() for c in r[1] or "")]
+    by = defaultdict(list)
+    for r in letters:
+        by[low(r[1])].append(r)
+    first = [max(g, key=lambda r: (r[0] is not None, r[0] or 0)) for g in by.values()]
+    bags, jp = brute_links([r[1] for r in first])
+    group = list(range(len(first)))
+    for i in range(len(first)):
+        for j in range(i):
+            a, b = bags[i], bags[j]
+            plain = max([*a.values(), *b.values(), 0]) == 1
+            if a and b and (len(a & b) / len(a | b) if plain else jp(a, b)) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    near = [min((first[i] for i in range(len(first)) if group[i] == g), key=lambda r: (r[0] is None, r[0] or 0)) for g in {*group}]
+    windows = {tuple(w[s : s + 10]) for w in map(words, bench) for s in range(max(1, len(w) - 9)) if w}
+    holds = lambda w: any(tuple(w[s : s + len(x)]) == x for x in windows for s in range(len(w)))
+    return letters, first, near, [r for r in near if not holds(words(r[1]))]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on nulls, empty and long texts, ties, repeated rows, an empty table and clashing names, against plain Python."""
+    import corpus_pipeline as P
+
+    passage, long = " ".join(f"q{i}" for i in range(14)), " ".join(f"w{i}" for i in range(60_000))
+    texts = [(0, None), (1, ""), (2, " 12 "), (3, BODY), (3, BODY), (4, BODY.upper()), (5, NEAR), (6, NEAR + " more"), (None, BODY), (None, "a text of a row without an id"), (7, f"one {passage} two"), (8, long), (8, long + " end"), (9, "the house and the garden"), (9, "das haus und der garten")]
+    ddl = "doc_id long, text string, lang string, uid long, t string, row string, found_pred string, n_words long"
+    docs = spark.createDataFrame([(i, t, "en" if i != 9 else "de", 5, "t", "r", "und", 1) for i, t in texts], ddl)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, want = spark.read.parquet(f"{tmp_path}/documents.parquet"), pipeline_stages(texts, [passage])
+    for (_, stage), rows in zip(P.STAGES, want, strict=False):
+        out = P.written(stage(spark, docs, str(tmp_path)), "stage")
+        assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows)
+        assert {(r.uid, r.t, r.row, r.found_pred, r.n_words) for r in out.collect()} <= {(5, "t", "r", "und", 1)}
+        docs = out
+    pieces = P.pack(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in want[3])
+    assert {r.doc_id: r.doc_tokens for r in pieces if r.doc_id in (3, 8)}.keys() == {r[0] for r in want[3] if r[0] in (3, 8)}
+    none = spark.createDataFrame([], ddl)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
