@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksums
@@ -65,9 +65,12 @@ def script_of(spark, sf):
 
 @query
 def tokenize_offsets(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", T.tokens(F.col("line")).alias("t"))
+    """Tokens by place in the whole document: line by line, as no token holds a line end, from each line's start on."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("li", "line"))
+    before = Window.partitionBy("doc_id").orderBy("li").rowsBetween(Window.unboundedPreceding, -1)
+    t = lines.select("doc_id", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("base"), T.tokens(F.col("line")).alias("t"))
     each = F.aggregate(F.transform("t", lambda x: x["start"] * 31 + x["end"]), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    return t.groupBy("doc_id").agg(F.sum(F.size("t")).alias("n_tokens"), F.sum(each).alias("offsets"))
+    return t.groupBy("doc_id").agg(F.sum(F.size("t")).alias("n_tokens"), F.sum(each + F.size("t") * F.col("base") * 32).alias("offsets"))
 
 
 @query

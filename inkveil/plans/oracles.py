@@ -121,9 +121,11 @@ def all_sql() -> dict[str, str]:
         "loose": f"SELECT doc_id, md5({_fold(f'regexp_replace({n}, {content})')}) AS loose_md5 FROM documents",
         "squash": f"SELECT doc_id, md5(replace({n}, ' ', '')) AS squash_md5 FROM documents",
         "script_of": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'kannada' WHEN 1 THEN 'devanagari' ELSE 'latin' END AS script FROM customer",
-        "tokenize_offsets": f"""WITH l AS (SELECT doc_id, li, regexp_extract_all(line, '{token}') AS m, regexp_split_to_array(line, '{token}') AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM documents)),
-            t AS (SELECT doc_id, li, i, length(m[i]) AS len, length(g[i]) AS gap FROM l, unnest(range(1, len(m) + 1)) AS u(i)),
-            s AS (SELECT doc_id, len, sum(gap + len) OVER (PARTITION BY doc_id, li ORDER BY i) AS e FROM t)
+        "tokenize_offsets": f"""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM documents),
+            b AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c),
+            l AS (SELECT doc_id, li, base, regexp_extract_all(line, '{token}') AS m, regexp_split_to_array(line, '{token}') AS g FROM b),
+            t AS (SELECT doc_id, li, base, i, length(m[i]) AS len, length(g[i]) AS gap FROM l, unnest(range(1, len(m) + 1)) AS u(i)),
+            s AS (SELECT doc_id, len, base + sum(gap + len) OVER (PARTITION BY doc_id, li ORDER BY i) AS e FROM t)
             SELECT d.doc_id, CAST(count(len) AS BIGINT) AS n_tokens, CAST(coalesce(sum((e - len) * 31 + e), 0) AS BIGINT) AS offsets FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
         "recall_tokens": f"SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT doc_id, {lower_words} AS w FROM documents)",
         "content_count": r"SELECT doc_id, length(regexp_replace(text, '[^\pL\pM\pN]', '', 'g')) AS n FROM documents",
@@ -225,7 +227,9 @@ def all_sql() -> dict[str, str]:
         "e2e_report": f"SELECT label, part, count(*) AS items, count(*) FILTER (coverage >= 0.9) AS hidden, count(DISTINCT page) FILTER (coverage < 0.9) AS leaky_pages FROM (SELECT c.page, c.coverage, t.label, c.page % 4 AS part FROM ({out['coverage']}) c JOIN {_truths} t ON c.page = t.page AND c.ord = t.ord) GROUP BY GROUPING SETS ((), (label), (part))",
         "ablation_grid": f"SELECT threshold, count(*) FILTER (coverage >= threshold) AS hidden, count(*) AS items FROM ({out['coverage']}), (SELECT i * 0.25::DOUBLE + 0.45::DOUBLE AS threshold FROM range(3) AS r(i)) GROUP BY threshold",
         "over_redaction": f"SELECT page, a.area - coalesce(b.area, 0) AS off, round(coalesce((a.area - coalesce(b.area, 0)) / nullif(d.area, 0), 0), 9) AS share FROM {_area(both, 'page')} a LEFT JOIN {_area(_INT_TRUTHS, 'page')} b USING (page) LEFT JOIN {_area(_INT_BOXES, 'page')} d USING (page)",
-        "span_index": "SELECT doc_id, n * 12 AS n, list_sum(list_transform(range(0, n), lambda i: least(12, n - i)))::BIGINT AS inside FROM (SELECT doc_id, least(length(text), 50) AS n FROM documents)",
+        "span_index": f"""WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '{token}')) AS n FROM documents),
+            w AS (SELECT doc_id, i * 150 AS "start", least(200, n - i * 150) AS w FROM d, unnest(range(0, CASE WHEN n <= 200 THEN 1 ELSE 1 + CAST(ceil((n - 200) / 150) AS BIGINT) END)) AS t(i))
+            SELECT doc_id, "start", w * 12 AS n, coalesce(list_sum(list_transform(range(0, w), lambda i: least(12, w - i))), 0)::BIGINT AS inside FROM w""",
         "verdict": f"SELECT bool_and((rate - CASE WHEN part = 2 THEN 0.001 ELSE 0 END) - rate >= -0.002) AS keep, count(*) AS parts FROM ({out['pii_report']}) WHERE part IS NOT NULL",
         "greedy_match": f"""WITH RECURSIVE c AS MATERIALIZED (SELECT b.page, b.label, b.ord AS pred, t.ord AS gt, {_iou('b', 't')} AS iou, row_number() OVER (PARTITION BY b.page, b.label ORDER BY -b.score, b.ord, -({_iou('b', 't')}), t.ord) AS rn FROM {_boxes} b JOIN {_truths} t ON b.page = t.page AND b.label = t.label AND {_iou('b', 't')} >= 0.3),
             w AS (SELECT page, label, rn, [struct_pack(pred := pred, gt := gt, iou := iou)] AS kept FROM c WHERE rn = 1

@@ -212,7 +212,9 @@ def clean_examples(spark, sf):
     return spans.clean(e, F.array(*map(F.lit, labels.NAMES.values()))).select("c_custkey")
 
 
-@query("SELECT doc_id, len(s) AS n, s[1] AS first, s[256] AS last FROM (SELECT doc_id, list_concat(list_transform(range(least(n_chars, 40)), lambda x: x), repeat([-1], 256))[1:256] AS s FROM documents)")
+@query("""WITH w AS (SELECT doc_id, i * 256 AS a, least(i * 256 + 256, n_chars) AS z FROM documents, unnest(range(0, CASE WHEN n_chars <= 256 THEN 1 ELSE CAST(ceil(n_chars / 256) AS BIGINT) END)) AS t(i)),
+    p AS (SELECT doc_id, a, z, list_concat(range(a, z), repeat([-1], CAST(256 - (z - a) AS BIGINT))) AS s FROM w)
+    SELECT doc_id, a AS "start", len(s) AS n, z - a AS held, s[1] AS first, s[256] AS last FROM p""")
 def padded_feed(spark, sf):
     """Every document in windows of at most 256 ids, each padded to 256."""
     d = table(spark, sf, "documents").select("doc_id", F.explode(spans.windows(F.col("n_chars"), 256, 256)).alias("w"))
