@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil.llm import _bytes as B
 from inkveil.llm import chat_format, decontaminate, exact_dedup, lang_id, lattice_lm, near_dedup, packing, queries, token_counts, toxicity, warc
@@ -98,7 +99,7 @@ def test_thue_morse_texts(spark):
 
 def shuffled(spark, rows, ddl, parts):
     """The rows after a shuffle, whose partitions adaptive execution joins as each plan allows."""
-    return spark.createDataFrame(rows, ddl).repartition(parts, "doc_id").groupBy("doc_id").agg(*(__import__("pyspark").sql.functions.first(c).alias(c) for c in ddl_names(ddl) if c != "doc_id"))
+    return spark.createDataFrame(rows, ddl).repartition(parts, "doc_id").groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ddl_names(ddl) if c != "doc_id"))
 
 
 def ddl_names(ddl):
