@@ -89,6 +89,22 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def softmax(x: Column) -> Column:
+    """Shares of an array's values, the largest taken out first."""
+    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
+def tall_or_wide(a: Box, least: float = 20) -> Column:
+    """Whether a box's longer side is over a number of pixels."""
+    return F.greatest(a.x1 - a.x0, a.y1 - a.y0) > least
+
+
+def drawn(a: Box) -> Column:
+    """Whether a box has any area to draw."""
+    return (a.x1 > a.x0) & (a.y1 > a.y0)
+
+
 def rotated(a: Box, cx: Column, cy: Column, degrees: Column, width: Column, height: Column) -> list[Column]:
     """The box around a box turned about a centre, in the page."""
     r = F.radians(degrees)

@@ -46,9 +46,20 @@ def norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded, f"[{WS}]+", " "))
 
 
+_cases = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c]
+_ONE = [(c, f) for c, f in _cases if len(f) == 1]
+_MANY = [(c, f) for c, f in _cases if len(f) > 1]
+#: Characters whose folding is not their lower case (a capital sigma's depends on its place), but for the sharp s.
+_ODD = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if (c.casefold() != c.lower() or c == "Σ") and c not in "ßẞ")
+
+
 def fold(text: Column) -> Column:
-    """Lower case with the sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding by the Unicode tables: lower case with the sharp s as ss, and character by character where a text
+    has one of the others."""
+    long = F.translate(text, "".join(c for c, _ in _ONE), "".join(f for _, f in _ONE))
+    for c, f in _MANY:
+        long = F.replace(long, F.lit(c), F.lit(f))
+    return F.when(text.rlike(f"[{_ODD}]"), long).otherwise(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def loose(text: Column) -> Column:
@@ -61,10 +72,16 @@ def squash(text: Column) -> Column:
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,text>> of all matches, by lengths of matches and of what lies between them."""
+    """array<struct<start,end,text>> of all matches, by lengths of matches and of what lies between them. An array that
+    grows is copied at each step, so matches are placed in blocks of about the root of their number, then the blocks."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("g"))
+
+    def blocks(held):
+        wide = F.greatest(F.ceil(F.sqrt(F.size(held))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / wide).cast("int")), lambda b: F.slice(held, b * wide + 1, wide))
+
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def step(acc, p):
@@ -72,7 +89,14 @@ def find_all(text: Column, pattern: str) -> Column:
         end = start + F.length(p["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("text")))).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+    def put(acc, b):
+        moved = F.transform(b["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["text"].alias("text")))
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    bound = F.get(F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 64, blocks(p)).otherwise(F.array(p))), F.lit(0))  # a name for pairs: else each block would search again
+    placed = F.transform(bound, lambda b: F.aggregate(b, zero, step))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,text:string>>>").alias("out"))
+    return F.aggregate(placed, first, put, lambda a: F.flatten(a["out"]))
 
 
 def tokens(text: Column) -> Column:

@@ -69,9 +69,9 @@ def union_area(boxes: DataFrame, *keys: str) -> DataFrame:
 
 
 def coverage(items: DataFrame, bars: DataFrame, page: str, item: str) -> DataFrame:
-    """Share of each item box that bars cover; 1 for an empty box."""
-    clipped = items.select(page, item, *(F.col(c).alias("i" + c) for c in ("x0", "y0", "x1", "y1"))).join(bars.select(page, "x0", "y0", "x1", "y1"), page)
-    clipped = clipped.select(page, item, *(F.greatest(c, "i" + c).alias(c) for c in ("x0", "y0")), *(F.least(c, "i" + c).alias(c) for c in ("x1", "y1")))
+    """Share of each item box that bars cover; 1 for an empty box. Items meet the bars that share area with them alone."""
+    pairs = overlap_pairs(items.select(page, item, "x0", "y0", "x1", "y1"), bars.select(page, "x0", "y0", "x1", "y1"), page)
+    clipped = pairs.select(page, F.col("l_" + item).alias(item), *(F.greatest("l_" + c, "r_" + c).alias(c) for c in ("x0", "y0")), *(F.least("l_" + c, "r_" + c).alias(c) for c in ("x1", "y1")))
     covered = union_area(clipped, page, item)
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     full = items.select(page, item, F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), size).otherwise(0).alias("size"))
@@ -107,7 +107,8 @@ def reading_lines(segments: DataFrame, *keys: str) -> DataFrame:
 
 
 def _chain(rows: list, slope: float) -> list[list]:
-    """Lines of segments (ord, x0, y0, x1, y1), from left to right: each joins the nearest line end within 0.6 heights."""
+    """Lines of segments (ord, x0, y0, x1, y1), from left to right: each joins the nearest line end within 0.6 heights. Lines
+    are in order of their mean height on the page, those less than a millionth apart by their first segment."""
     h = median(r[4] - r[2] for r in rows)
     y = {r[0]: (r[2] + r[4]) / 2 - slope * (r[1] + r[3]) / 2 for r in rows}
     lines: list[list] = []
@@ -117,7 +118,7 @@ def _chain(rows: list, slope: float) -> list[list]:
             lines[near[1]].append(r)
         else:
             lines.append([r])
-    return sorted(lines, key=lambda line: sum(y[r[0]] for r in line) / len(line))
+    return sorted(lines, key=lambda line: round(sum(y[r[0]] for r in line) / len(line), 6))
 
 
 @F.udf(ArrayType(StructType([StructField("ord", LongType()), StructField("line", IntegerType()), StructField("pos", IntegerType())])), useArrow=True)

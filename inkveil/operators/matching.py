@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .layout import overlap_pairs
 
 
 def greedy_match(pred: DataFrame, truth: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     """One-to-one matches by page and label: predictions by score, each takes its best truth that is free and overlaps it
-    enough. Columns of both: label, ord and box; of predictions also score. Rows: page, label, pred, gt, iou."""
-    p = pred.select(page, "label", F.col("ord").alias("pred"), "score", *(F.col(c).alias("p" + c) for c in ("x0", "y0", "x1", "y1")))
-    t = truth.select(page, "label", F.col("ord").alias("gt"), "x0", "y0", "x1", "y1")
-    pairs = p.join(t, [page, "label"]).withColumn("iou", G.iou(G.Box.of("p"), G.Box.of())).where(F.col("iou") >= least)
+    enough (least: over 0). Columns of both: label, ord and box; of predictions also score. Rows: page, label, pred, gt, iou."""
+    box = ("x0", "y0", "x1", "y1")
+    met = overlap_pairs(pred.select(page, "label", "ord", "score", *box), truth.select(page, "label", "ord", *box), page).where("l_label = r_label")
+    pairs = met.select(page, F.col("l_label").alias("label"), F.col("l_ord").alias("pred"), F.col("l_score").alias("score"), F.col("r_ord").alias("gt"), G.iou(G.Box.of("l_"), G.Box.of("r_")).alias("iou")).where(F.col("iou") >= least)
     rows = pairs.groupBy(page, "label").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "pred", (-F.col("iou")).alias("off"), "gt"))).alias("c"))
     kind = "array<struct<pred:bigint,gt:bigint,iou:double>>"
 

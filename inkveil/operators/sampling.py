@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def round_robin(meta: DataFrame, outer: str, inner: str, key: str, per_outer: int, order: Column) -> DataFrame:
-    """Up to per_outer rows of each outer stratum, taken in turn from its inner strata (sorted), each in the given order."""
+    """Up to per_outer rows of each outer stratum, taken in turn from its inner strata (sorted), each in the given order. An
+    inner stratum gives no more than per_outer rows, so only those are ordered by outer stratum."""
     inside = Window.partitionBy(outer, inner).orderBy(order, key)
     turn = Window.partitionBy(outer).orderBy("__turn", inner)
-    return meta.withColumn("__turn", F.row_number().over(inside)).withColumn("place", F.row_number().over(turn)).where(F.col("place") <= per_outer).drop("__turn")
+    first = meta.withColumn("__turn", F.row_number().over(inside)).where(F.col("__turn") <= per_outer)
+    return first.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= per_outer).drop("__turn")
 
 
 def hash_split(key: Column, share: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .layout import overlap_pairs
 
 
 def bag_recall(truth: Column, said: Column) -> Column:
@@ -47,10 +48,12 @@ def best_of(outcomes: DataFrame, keys: list[str], engine: str, ok: str, n: int)
 
 
 def exists_match(pred: DataFrame, truth: DataFrame, page: str, label: str, item: str, least: float = 0.5) -> DataFrame:
-    """Whether any prediction of its class overlaps a truth enough."""
-    p = pred.select(page, label, *(F.col(c).alias("p" + c) for c in ("x0", "y0", "x1", "y1")))
-    hit = truth.join(p, [page, label], "left").groupBy(page, label, item).agg(F.max(F.coalesce(G.iou(G.Box.of(), G.Box.of("p")) >= least, F.lit(False))).alias("detected"))
-    return hit
+    """Whether any prediction of its class overlaps a truth enough (least: over 0, so only boxes that share area meet)."""
+    box = ("x0", "y0", "x1", "y1")
+    pairs = overlap_pairs(truth.select(page, label, item, *box), pred.select(page, label, *box), page)
+    held = pairs.where((F.col("l_" + label) == F.col("r_" + label)) & (G.iou(G.Box.of("l_"), G.Box.of("r_")) >= least))
+    hit = held.select(page, F.col("l_" + label).alias(label), F.col("l_" + item).alias(item), F.lit(True).alias("detected"))
+    return truth.select(page, label, item, F.lit(False).alias("detected")).unionByName(hit).groupBy(page, label, item).agg(F.max("detected").alias("detected"))
 
 
 def choose_variant(rows: DataFrame, least: float) -> DataFrame:

@@ -12,11 +12,18 @@ from ..functions import geometry as G
 from ..functions import text as T
 from . import layout, spans
 
+#: Characters of a text in which words and entities meet.
+STRETCH = 64
+
 
 def entity_of_words(words: DataFrame, entities: DataFrame, page: str) -> DataFrame:
-    """The last entity that holds each word: page, wi, ei (words in none are left out)."""
-    e = entities.select(page, "ei", F.col("start").alias("a"), F.col("end").alias("b"))
-    return words.join(e, page).where("start >= a and end <= b").groupBy(page, "wi").agg(F.max("ei").alias("ei"))
+    """The last entity that holds each word: page, wi, ei (words in none are left out). A word meets the entities that reach
+    the stretch of text in which it starts, not all of its page."""
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    e = entities.select(page, "ei", F.col("start").alias("a"), F.col("end").alias("b")).where("a <= b")
+    e = e.withColumn("__s", F.explode(F.sequence(stretch("a"), stretch("b"))))
+    w = words.select(page, "wi", "start", "end", stretch("start").alias("__s"))
+    return w.join(e, [page, "__s"]).where("start >= a and end <= b").groupBy(page, "wi").agg(F.max("ei").alias("ei"))
 
 
 def transfer(segments: DataFrame, words: DataFrame, entities: DataFrame, page: str, least: float = 0.5) -> DataFrame:

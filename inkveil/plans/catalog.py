@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checksums
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import decode, layout, matching, review, rules, sampling, scoring, spans, transfer
+from ..operators import decode, flows, layout, matching, review, rules, sampling, scoring, spans, transfer
 from . import oracles, toolkit
 from .fixtures import BOXES, IDS, SPANS, TRUTHS, fixture, table
 
@@ -294,6 +294,12 @@ def fill_gaps(spark, sf):
     return r.select("page", "kind", "label", "x0", "y0", "x1", "y1", F.round("score", 6).alias("score"))
 
 
+@query
+def filled_union(spark, sf):
+    b = fixture(spark, sf, BOXES).withColumn("engine", F.when(F.col("ord") % 2 == 0, "a").otherwise("b"))
+    return flows.filled_union(b, "engine", "page").select("page", "engine", "kind", "label", "x0", "y0", "x1", "y1", F.round("score", 6).alias("score"))
+
+
 @query
 def span_boxes(spark, sf):
     s = fixture(spark, sf, SPANS)

@@ -109,6 +109,32 @@ def _walk(cand: str, item: str, clash: str) -> str:
         SELECT page, k.ord AS ord FROM (SELECT page, unnest(kept) AS k FROM (SELECT page, arg_max(kept, rn) AS kept FROM w GROUP BY page))"""
 
 
+def _chained(name: str, c: str) -> str:
+    """Tables name_w and name (page, rn, line): segments c (page, rn, y, h) in turn, each to the nearest line end within 0.6 h."""
+    return f"""{name}_w AS (SELECT page, rn, [y] AS ends, [CAST(1 AS BIGINT)] AS line FROM {c} WHERE rn = 1
+        UNION ALL SELECT page, nr, CASE WHEN d[k] <= CAST(0.6 AS DOUBLE) * h THEN list_transform(ends, lambda e, i: CASE WHEN i = k THEN y ELSE e END) ELSE list_append(ends, y) END, list_append(line, CASE WHEN d[k] <= CAST(0.6 AS DOUBLE) * h THEN k ELSE len(ends) + 1 END)
+            FROM (SELECT *, CAST(list_position(d, list_min(d)) AS BIGINT) AS k FROM (SELECT w.*, c.rn AS nr, c.y, c.h, list_transform(w.ends, lambda e: abs(c.y - e)) AS d FROM {name}_w w JOIN {c} c ON c.page = w.page AND c.rn = w.rn + 1))),
+        {name} AS (SELECT page, unnest(range(1, len(line) + 1)) AS rn, unnest(line) AS line FROM (SELECT page, arg_max(line, rn) AS line FROM {name}_w GROUP BY page))"""
+
+
+def _tilted() -> str:
+    middle = lambda v: f"list_sort({v})[(len({v}) + 1) // 2] / 2 + list_sort({v})[len({v}) // 2 + 1] / 2"
+    return f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, (x0 + x1) / 2 AS xc, (y0 + y1) / 2 AS yc, row_number() OVER (PARTITION BY page ORDER BY x0, ord) AS rn FROM {_boxes}),
+        h AS MATERIALIZED (SELECT page, {middle('v')} AS h FROM (SELECT page, list(y1 - y0) AS v FROM s GROUP BY page)),
+        c AS MATERIALIZED (SELECT page, rn, yc AS y, h FROM s JOIN h USING (page)), {_chained('l', 'c')},
+        e AS (SELECT page, line, arg_min(xc, rn) AS ax, arg_min(yc, rn) AS ay, arg_max(xc, rn) AS bx, arg_max(yc, rn) AS y2 FROM l JOIN s USING (page, rn) GROUP BY page, line),
+        m AS (SELECT page, {middle('v')} AS slope FROM (SELECT page, list((y2 - ay) / (bx - ax)) AS v FROM e WHERE bx > ax GROUP BY page)),
+        t AS MATERIALIZED (SELECT s.page, rn, ord, yc - coalesce(slope, 0) * (x0 + x1) / 2 AS y, h FROM s JOIN h USING (page) LEFT JOIN m USING (page)), {_chained('r', 't')},
+        o AS (SELECT page, line, row_number() OVER (PARTITION BY page ORDER BY round(sum(y) / count(*), 6), line) - 1 AS k FROM r JOIN t USING (page, rn) GROUP BY page, line)
+        SELECT page, ord, CAST(k AS INT) AS line, CAST(row_number() OVER (PARTITION BY page, line ORDER BY rn) - 1 AS INT) AS pos FROM r JOIN t USING (page, rn) JOIN o USING (page, line)"""
+
+
+def crc32_sql(e: str) -> str:
+    """crc32 of ASCII text, bit by bit."""
+    bit = "list_reduce(list_concat([xor(c, CAST(x AS BIGINT))], [0, 0, 0, 0, 0, 0, 0, 0]), lambda k, z: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END)"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({e}, ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, x: {bit}), 4294967295)"
+
+
 def all_sql() -> dict[str, str]:
     token = rf"[{_WORD}]+(?:[-_][{_WORD}]+)*|[^{_WS}]"
     n = _norm("text")
@@ -245,10 +271,12 @@ def all_sql() -> dict[str, str]:
         SELECT page, ei, a AS "start", z AS "end", ocr, round(least(1.0, levenshtein('seg' || ei, replace(ocr, ' ', '')) / length('seg' || ei)), 9) AS cer FROM o"""
     out["python_round"] = "SELECT p_partkey, CAST(format('{:.1f}', p_retailprice) AS DOUBLE) AS rounded FROM part"
     out["substring_distance"] = """SELECT p_partkey, CAST(min(levenshtein(p_brand, substr(p_type, a, n))) AS INT) AS distance FROM part, unnest(range(1, length(p_type) + 1)) AS u(a), unnest(range(0, length(p_type) + 1)) AS v(n) WHERE a + n <= length(p_type) + 1 GROUP BY p_partkey"""
-    bit = "list_reduce(list_concat([xor(c, CAST(x AS BIGINT))], [0, 0, 0, 0, 0, 0, 0, 0]), lambda k, z: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END)"
-    out["hash_split"] = f"SELECT doc_id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, x: {bit}), 4294967295) % 1000 < 30 AS val FROM documents"
+    out["hash_split"] = f"SELECT doc_id, {crc32_sql('CAST(doc_id AS VARCHAR)')} % 1000 < 30 AS val FROM documents"
     for label in _PATTERNS:
         out["rx_" + label.lower()] = f'SELECT id, "start", "end", value FROM ({_matches(_ids, label)})'
+    out["reading_order_tilt"] = _tilted()
+    own = f"(SELECT *, CASE WHEN ord % 2 = 0 THEN 'a' ELSE 'b' END AS engine FROM {_boxes})"
+    out["filled_union"] = out["fill_gaps"].replace(_boxes, own).replace("page, kind, label", "page, engine, kind, label").replace("b.page, b.kind", "b.page, b.engine, b.kind").replace("b.kind = w.kind", "b.engine = w.engine AND b.kind = w.kind")
     merged = " UNION ALL ".join(f"SELECT page, label, \"start\", \"end\", score FROM {_merged(f'(SELECT * FROM {_spans} WHERE source = ' + chr(39) + v + chr(39) + ')')}" for v in "ab")
     out["union_spans"] = f'SELECT page, label, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", round(score, 6) AS score FROM {_merged("(" + merged + ")")}'
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import labels
 from ..functions import text as T
-from ..operators import layout, matching, sampling, scoring, spans, transfer
+from ..operators import flows, layout, matching, sampling, scoring, spans, transfer
 from ..sources import records
 from . import oracles
 from .fixtures import BOXES, IDS, SPANS, TRUTHS, fixture, table
@@ -358,3 +358,57 @@ def face_files(spark, sf):
 def transfer_stats(spark, sf):
     g = fixture(spark, sf, SPANS).select("page", "label", F.col("score").alias("cer"))
     return transfer.stats(g, ["label"], 0.6).select("label", "transferred", "bad", F.round("mean_cer", 9).alias("mean_cer"))
+
+
+# Flows
+
+
+@query("SELECT o_orderkey, o_custkey, c_name AS said FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def records_beside(spark, sf):
+    c = table(spark, sf, "customer")
+    read = c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("said"), F.when(F.col("c_custkey") % 5 == 0, "bad").alias("error"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return flows.beside(o, read, "o_custkey", c.where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))).select("o_orderkey", "o_custkey", "said")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'own/' || page_id ELSE url END AS url FROM pages")
+def page_files(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return flows.page_files(p, p.where("page_id % 3 = 0").select("page_id", F.concat(F.lit("own/"), "page_id").alias("url")), "page_id", "url").select("page_id", "url")
+
+
+_CRC = oracles.crc32_sql("CAST(c_custkey AS VARCHAR)")
+
+
+@query(f"SELECT 'a/b/' || c_custkey AS file, CASE WHEN {_CRC} % 10 = 0 THEN 'heldout' ELSE 'train' END AS pool FROM customer")
+def face_pools(spark, sf):
+    return flows.pools(table(spark, sf, "customer").select(F.concat(F.lit("a/b/"), "c_custkey").alias("file")), "file")
+
+
+@query(f"""WITH i AS (SELECT 'g' || page % 3 AS lang, kind AS doc_type, s AS script, label || CASE WHEN s = 'latin' THEN '' ELSE ' (' || s || ')' END AS label, score FROM (SELECT *, CASE WHEN ord % 3 = 0 THEN 'kannada' ELSE 'latin' END AS s FROM {_boxes}))
+    SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(doc_type) = 0 THEN 'doc_type' WHEN grouping(script) = 0 THEN 'script' WHEN grouping(label) = 0 THEN 'label' ELSE 'overall' END AS part, coalesce(lang, doc_type, script, label) AS value, count(*) AS n, round(count(*) FILTER (score >= 0.25) / count(*), 9) AS "found"
+    FROM i GROUP BY GROUPING SETS ((), (lang), (doc_type), (script), (label))""")
+def recognition_report(spark, sf):
+    script = F.when(F.col("ord") % 3 == 0, "kannada").otherwise("latin")
+    i = fixture(spark, sf, BOXES).select(F.concat(F.lit("g"), F.col("page") % 3).alias("lang"), F.col("kind").alias("doc_type"), script.alias("script"), "label", "score")
+    return flows.recognition_report(i, {"n": F.count("*"), "found": F.round(F.count(F.when(F.col("score") >= 0.25, 1)) / F.count("*"), 9)})
+
+
+@query(f"SELECT page, ord FROM {_boxes} WHERE greatest(x1 - x0, y1 - y0) > 40 AND x1 - 30 > x0 AND y1 - 12 > y0")
+def box_filters(spark, sf):
+    b = fixture(spark, sf, BOXES)
+    shrunk = G.Box("x0", "y0", F.col("x1") - 30, F.col("y1") - 12)
+    return b.where(G.tall_or_wide(G.Box.of(), 40) & G.drawn(shrunk)).select("page", "ord")
+
+
+@query("SELECT s_suppkey, round(exp(a) / (exp(a) + exp(b) + 1), 9) AS first, round(1 / (exp(a) + exp(b) + 1), 9) AS last FROM (SELECT s_suppkey, s_suppkey % 7 / 2.0 AS a, s_suppkey % 3 - 1.5 AS b FROM supplier)")
+def softmax(spark, sf):
+    x = F.array((F.col("s_suppkey") % 7 / 2.0), (F.col("s_suppkey") % 3 - 1.5).cast("double"), F.lit(0.0))
+    s = table(spark, sf, "supplier").select("s_suppkey", G.softmax(x).alias("p"))
+    return s.select("s_suppkey", F.round(F.get("p", F.lit(0)), 9).alias("first"), F.round(F.get("p", F.lit(2)), 9).alias("last"))
+
+
+@query("SELECT key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT c_mktsegment AS key, c_custkey AS n FROM customer UNION ALL SELECT 'all', 1 FROM customer) GROUP BY key")
+def summed_counts(spark, sf):
+    c = table(spark, sf, "customer").select(F.create_map("c_mktsegment", "c_custkey", F.lit("all"), F.lit(1).cast("long")).alias("m"))
+    return flows.summed(c, "m")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import checksums, labels, registry, synth
 from inkveil.functions import geometry as G
 from inkveil.functions import text as T
-from inkveil.operators import decode, imaging, layout, matching, models, review, rules, sampling, scoring, spans, transfer
+from inkveil.operators import decode, flows, imaging, layout, matching, models, review, rules, sampling, scoring, spans, transfer
 from inkveil.plans import catalog
 from inkveil.sources import records
 from inkveil.streaming import incremental
@@ -263,7 +263,7 @@ def test_quota_ends_with_a_page(spark):
 
 def test_catalog_has_sql():
     missing = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert missing <= {"reading_order_tilt", "transfer_lines"}
+    assert missing <= {"transfer_lines"}
 
 
 def windows_of(n, size, stride):
@@ -298,3 +298,52 @@ def test_padded_refuses_more_than_fit(spark):
     assert column(spark, [[], [1], [1, 2]], lambda c: matching.padded(c, 2, F.lit(-1)), "array<int>") == [[-1, -1], [1, -1], [1, 2]]
     with pytest.raises(Exception, match="3 values; at most 2 fit"):
         column(spark, [[1, 2, 3]], lambda c: matching.padded(c, 2, F.lit(-1)), "array<int>")
+
+
+def test_fold_is_case_folding_of_every_character(spark):
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = [*(a + b for a, b in zip(chars, ["", "a", "Σ", "ß"] * len(chars))), "ΟΔΟΣ", "STRASSE ẞ", "ﬁn İ", ""]  # noqa: B905
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = [r[0] for r in d.orderBy("i").select(T.fold(F.col("v"))).collect()]
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != t.casefold()] == []
+
+
+def test_matches_of_long_texts(spark):
+    rng = random.Random(5)
+    texts = ["", "x", " ".join("w" * rng.randrange(1, 9) for _ in range(5000)), "-" * 130, "a " * 65, " " * 300]
+    token = re.compile(r"\w+(?:[-_]\w+)*|\S")
+    got = column(spark, texts, T.tokens)
+    assert [[(t.start, t.end, t.text) for t in g] for g in got] == [[(m.start(), m.end(), m[0]) for m in token.finditer(v)] for v in texts]
+    assert column(spark, [None, "a"], lambda c: T.tokens(c).isNull()) == [True, False]
+
+
+def test_regions_of_two_readings(spark):
+    seg = [(1, e, k, t, 10.0 * k, 0.0 if k < 2 else 30.0, 10.0 * k + 9, 10.0 if k < 2 else 40.0) for e in "ab" for k, t in enumerate(("PAN", "ABCPK1234F" if e == "a" else "ABCPKI234F", "end"))]
+    s = spark.createDataFrame(seg, "page int, engine string, ord long, text string, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.engine, r.page_text) for r in flows.page_texts(s, "page", "engine").collect()} == {("a", "PAN ABCPK1234F\nend"), ("b", "PAN ABCPKI234F\nend")}
+    rule = lambda c: F.transform(T.find_all(c, "[A-Z]{5}[0-9]{4}[A-Z]"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit("PAN").alias("label"), F.lit(1.0).alias("score")))
+    d = spark.createDataFrame([(1, "FACE", 0.0, 50.0, 9.0, 60.0, 0.9), (1, "STAMP", 0.0, 70.0, 9.0, 80.0, 0.1)], "page int, label string, x0 double, y0 double, x1 double, y1 double, score double")
+    got = flows.analyse(s, rule, "engine", d, "page").collect()
+    assert sorted((r.kind, r.label, r.x0, r.y0, r.x1, r.y1, r.source) for r in got) == [("text", "PAN", 10.0, 0.0, 19.0, 10.0, "a"), ("visual", "FACE", 0.0, 50.0, 9.0, 60.0, "detector")]
+    assert flows.analyse(s.limit(0), rule, "engine", None, "page").count() == 0
+
+
+def test_pools_take_from_each_other(spark):
+    import zlib
+
+    names = [f"d/{k}.jpg" for k in range(40)]
+    got = {(r.file, r.pool) for r in flows.pools(spark.createDataFrame([(n,) for n in names], "file string"), "file").collect()}
+    assert got == {(n, "heldout" if zlib.crc32(n[2:].encode()) % 10 == 0 else "train") for n in names}
+    one = flows.pools(spark.createDataFrame([(names[0],)], "file string"), "file").collect()
+    assert sorted(r.pool for r in one) == ["heldout", "train"]
+    assert flows.pools(spark.createDataFrame([], "file string"), "file").count() == 0
+
+
+def test_words_meet_the_entities_of_their_stretch(spark):
+    rng = random.Random(8)
+    words = [(1, k, a, a + rng.randrange(8)) for k, a in enumerate(rng.randrange(400) for _ in range(150))]
+    ents = [(1, k, a, a + rng.randrange(150)) for k, a in enumerate(rng.randrange(400) for _ in range(12))]
+    w = spark.createDataFrame(words, "page int, wi int, start int, end int")
+    e = spark.createDataFrame(ents, "page int, ei int, start int, end int")
+    want = {(k, max(j for _, j, x, z in ents if x <= a and b <= z)) for _, k, a, b in words if any(x <= a and b <= z for _, _, x, z in ents)}
+    assert {(r.wi, r.ei) for r in transfer.entity_of_words(w, e, "page").collect()} == want
