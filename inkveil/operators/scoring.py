@@ -17,7 +17,8 @@ def bag_recall(truth: Column, said: Column) -> Column:
 
 
 def average_precision(pairs: DataFrame, truths: DataFrame, page: str, label: str, pred: str, score: str, gt: str, least: float = 0.5) -> DataFrame:
-    """AP50 by label. pairs: every prediction once or more, with iou to truths of its page and label (null: none there).
+    """AP50 by label. pairs: every prediction once or more, with iou to truths of its page and label (null: none; truths
+    that share no area with it may be left out).
     The best truth of each prediction counts whether used or not; the first prediction by score on a truth is right.
     Null for a label without truths."""
     best = Window.partitionBy(page, label, pred).orderBy(F.desc_nulls_last("iou"), F.asc_nulls_last(gt))

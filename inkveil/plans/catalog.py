@@ -358,8 +358,10 @@ def ctc_decode(spark, sf):
 @query
 def ap50(spark, sf):
     b = fixture(spark, sf, BOXES).select("page", "label", F.col("ord").alias("pred"), "score", "x0", "y0", "x1", "y1")
-    t = fixture(spark, sf, TRUTHS).select("page", "label", F.col("ord").alias("gt"), *(F.col(c).alias("t" + c) for c in ("x0", "y0", "x1", "y1")))
-    pairs = b.join(t, ["page", "label"], "left").withColumn("iou", F.when(F.col("gt").isNotNull(), G.iou(G.Box.of(), G.Box.of("t"))))
+    t = fixture(spark, sf, TRUTHS).select("page", "label", F.col("ord").alias("gt"), "x0", "y0", "x1", "y1")
+    met = layout.overlap_pairs(b, t, "page").where("l_label = r_label")
+    met = met.select("page", F.col("l_pred").alias("pred"), F.col("r_gt").alias("gt"), G.iou(G.Box.of("l_"), G.Box.of("r_")).alias("iou"))
+    pairs = b.join(met, ["page", "pred"], "left")
     return scoring.average_precision(pairs, t, "page", "label", "pred", "score", "gt").withColumn("ap", F.round("ap", 6))
 
 
