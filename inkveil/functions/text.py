@@ -49,17 +49,15 @@ def norm(text: Column) -> Column:
 _cases = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c]
 _ONE = [(c, f) for c, f in _cases if len(f) == 1]
 _MANY = [(c, f) for c, f in _cases if len(f) > 1]
-#: Characters whose folding is not their lower case (a capital sigma's depends on its place), but for the sharp s.
-_ODD = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if (c.casefold() != c.lower() or c == "Σ") and c not in "ßẞ")
 
 
 def fold(text: Column) -> Column:
-    """Full case folding by the Unicode tables: lower case with the sharp s as ss, and character by character where a text
-    has one of the others."""
-    long = F.translate(text, "".join(c for c, _ in _ONE), "".join(f for _, f in _ONE))
+    """Full case folding by the Unicode tables, character by character; texts of ASCII alone are put in lower case."""
+    wide = F.translate(text, "".join(c for c, _ in _ONE), "".join(f for _, f in _ONE))
+    long = wide
     for c, f in _MANY:
         long = F.replace(long, F.lit(c), F.lit(f))
-    return F.when(text.rlike(f"[{_ODD}]"), long).otherwise(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    return F.when(text.rlike(r"^\p{ASCII}*\z"), F.lower(text)).when(text.rlike("[" + "".join(c for c, _ in _MANY) + "]"), long).otherwise(wide)
 
 
 def loose(text: Column) -> Column:
