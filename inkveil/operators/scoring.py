@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from .layout import overlap_pairs
 
+#: Buckets of scores from 0 to 1, about; predictions are ordered within them.
+SCORE_BUCKETS = 4096
+
 
 def bag_recall(truth: Column, said: Column) -> Column:
     """Share of the true words that were said, each as often as it was said."""
@@ -16,24 +19,39 @@ def bag_recall(truth: Column, said: Column) -> Column:
     return both / F.greatest(F.size(truth), F.lit(1))
 
 
+def _score_bucket(score: str) -> Column:
+    """A number that grows with the score, null lowest and NaN highest. The arc tangent needs no bounds of the scores."""
+    place = F.floor(F.atan(F.col(score).cast("double")) * SCORE_BUCKETS)
+    return F.when(F.col(score).isNull(), -2 * SCORE_BUCKETS).when(F.isnan(score), 2 * SCORE_BUCKETS).otherwise(place)
+
+
 def average_precision(pairs: DataFrame, truths: DataFrame, page: str, label: str, pred: str, score: str, gt: str, least: float = 0.5) -> DataFrame:
     """AP50 by label. pairs: every prediction once or more, with iou to truths of its page and label (null: none; truths
     that share no area with it may be left out).
     The best truth of each prediction counts whether used or not; the first prediction by score on a truth is right.
-    Null for a label without truths."""
+    A label without truths gives no row; null scores come last, NaN first, ties by page and prediction.
+
+    Predictions are ranked by label and bucket of scores, and buckets by label: no task orders all of a label."""
     best = Window.partitionBy(page, label, pred).orderBy(F.desc_nulls_last("iou"), F.asc_nulls_last(gt))
-    top = pairs.withColumn("__b", F.row_number().over(best)).where("__b = 1")
-    by = Window.partitionBy(label).orderBy(F.desc(score), page, pred)
-    top = top.withColumn("rk", F.row_number().over(by)).withColumn("ok", F.coalesce(F.col("iou") >= least, F.lit(False)))
-    claim = Window.partitionBy(label, page, gt, "ok").orderBy("rk")
-    tp = top.withColumn("tp", (F.col("ok") & (F.row_number().over(claim) == 1)).cast("int"))
+    top = pairs.withColumn("__b", F.row_number().over(best)).where("__b = 1").withColumn("ok", F.coalesce(F.col("iou") >= least, F.lit(False)))
+    claim = Window.partitionBy(label, page, gt, "ok").orderBy(F.desc(score), pred)
+    tp = top.withColumn("tp", (F.col("ok") & (F.row_number().over(claim) == 1)).cast("int")).withColumn("__k", _score_bucket(score))
+    # Ranks and hits within the bucket, and those of the buckets above it
+    keys = [F.col(label).alias("__l"), "__k"]
+    by = Window.partitionBy("__l", "__k").orderBy(F.desc(score), page, pred)
+    above = Window.partitionBy("__l").orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = tp.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("tp").alias("hits"))
+    sums = sums.select("__l", "__k", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits"))
+    own = tp.select(*keys, score, page, pred, "tp").withColumn("rk", F.row_number().over(by)).withColumn("own", F.sum("tp").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = own.where("tp = 1").join(sums, ["__l", "__k"]).select("__l", "__k", (F.col("hits") + F.col("own")).alias("at"), ((F.col("hits") + F.col("own")) / (F.col("n") + F.col("rk"))).alias("pre"))
+    # Of each hit the best precision from its rank on: within the bucket, and of the buckets below it
+    down = Window.partitionBy("__l", "__k").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy("__l").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    env = hits.withColumn("env", F.max("pre").over(down))
+    later = hits.groupBy("__l", "__k").agg(F.max("pre").alias("most")).select("__l", "__k", F.max("most").over(below).alias("later"))
+    got = env.join(later, ["__l", "__k"]).groupBy("__l").agg(F.sum(F.greatest("env", "later")).alias("sum"))
     n = truths.groupBy(label).agg(F.count("*").alias("n_gt"))
-    cum = tp.join(n, label).withColumn("hits", F.sum("tp").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    cum = cum.withColumn("rec", F.col("hits") / F.col("n_gt")).withColumn("pre", F.col("hits") / F.col("rk"))
-    down = Window.partitionBy(label).orderBy(F.desc("rk")).rowsBetween(Window.unboundedPreceding, 0)
-    area = cum.withColumn("env", F.max("pre").over(down)).withColumn("gain", F.col("rec") - F.lag("rec", 1, 0.0).over(Window.partitionBy(label).orderBy("rk")))
-    got = area.groupBy(label).agg(F.sum(F.col("gain") * F.col("env")).alias("ap"))
-    return n.join(got, label, "left").select(label, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return n.join(got, n[label] == got["__l"], "left").select(n[label], "n_gt", F.coalesce(F.col("sum") / F.col("n_gt"), F.lit(0.0)).alias("ap"))
 
 
 def report(rows: DataFrame, sets: list[list[str]], measures: dict[str, Column]) -> DataFrame:

@@ -143,6 +143,35 @@ def test_scores(spark):
     assert c.ids == [1, 1, 2] and c.confidence == pytest.approx(0.25 ** (2 / 3**0.5))
 
 
+def test_average_precision_is_the_area_under_the_envelope(spark):
+    rng = random.Random(5)
+    scores = [None, float("nan"), float("inf"), float("-inf"), -3.5, 0.0, 0.25, 0.5, 0.5000001, 0.75, 1.0, 1e300]
+    preds = [(p, c, i, rng.choice(scores) if rng.random() < 0.5 else rng.random()) for p in range(12) for c in "AB" for i in range(9)]
+    pairs = [(p, c, i, s, g, rng.random()) for p, c, i, s in preds for g in rng.sample(range(6), 2)] + [(99, "A", 0, 0.6, None, None)]
+    truths = [(p, c, g) for p in range(12) for c in "AB" for g in range(6)] + [(0, "C", 0)]
+    want = {"C": (1, 0.0)}
+    for c in "AB":
+        best = {}
+        for p, _, i, s, g, iou in (x for x in pairs if x[1] == c):
+            key = (-1 if iou is None else iou, -(g or 0))
+            if (p, i) not in best or key > best[p, i][0]:
+                best[p, i] = (key, s, g, iou is not None and iou >= 0.5)
+        place = lambda s: (1, 0) if s is None else (0, float("-inf")) if s != s else (0, -s)
+        order = sorted(best, key=lambda k: (*place(best[k][1]), best[k][1] == best[k][1], *k))
+        used, hits, curve = set(), 0, []
+        for n, k in enumerate(order, 1):
+            _, _, g, ok = best[k]
+            if ok and (k[0], g) not in used:
+                used.add((k[0], g))
+                hits += 1
+                curve.append((n, hits / n))
+        want[c] = (72, sum(max(p for m, p in curve if m >= n) for n, _ in curve) / 72)
+    p = spark.createDataFrame(pairs, "page int, label string, pred int, score double, gt int, iou double").repartition(5)
+    t = spark.createDataFrame(truths, "page int, label string, gt int")
+    got = {r.label: (r.n_gt, r.ap) for r in scoring.average_precision(p, t, "page", "label", "pred", "score", "gt").collect()}
+    assert got == {c: (n, pytest.approx(a)) for c, (n, a) in want.items()} and 0.1 < want["A"][1] < 0.9
+
+
 def test_samples_and_review(spark):
     meta = spark.createDataFrame([(i, "en", f"t{i % 3}") for i in range(20)] + [(50, "fr", "t0")], "id int, lang string, kind string")
     got = sampling.round_robin(meta, "lang", "kind", "id", 7, F.xxhash64("id")).groupBy("lang", "kind").count().collect()
