@@ -46,8 +46,11 @@ def occurrences(text: Column, needle: str, taken: Column, least: int = 3) -> Col
 
 def span_index(n: Column, width: int = 12) -> Column:
     """All spans of up to width tokens: array of (first, last, inside), for a span model's input."""
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.struct(i.alias("first"), (i + k).alias("last"), (i + k < n).alias("inside"))))
-    return F.when(n > 0, F.flatten(spans)).otherwise(F.array().cast("array<struct<first:int,last:int,inside:boolean>>"))
+    each = lambda f: F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), f))
+    first, last = each(lambda i: F.array_repeat(i, width)), each(lambda i: F.sequence(i, i + (width - 1)))
+    # Column by column: a struct made span by span costs twice as much
+    spans = F.arrays_zip(first, last, F.transform(last, lambda k: k < n)).cast("array<struct<first:int,last:int,inside:boolean>>")
+    return F.when(n > 0, spans).otherwise(F.array().cast("array<struct<first:int,last:int,inside:boolean>>"))
 
 
 def padded(values: Column, size: int, fill: Column) -> Column:

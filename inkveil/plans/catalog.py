@@ -525,7 +525,7 @@ def span_index(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(T.TOKEN)).alias("n"))
     d = d.select("doc_id", F.explode(spans.windows(F.col("n"))).alias("w"))
     d = d.select("doc_id", F.col("w.start").cast("long").alias("start"), matching.span_index(F.col("w.end") - F.col("w.start"), 12).alias("s"))
-    return d.select("doc_id", "start", F.size("s").cast("long").alias("n"), F.size(F.filter("s", lambda x: x["inside"])).cast("long").alias("inside"))
+    return d.select("doc_id", "start", F.size("s").cast("long").alias("n"), F.size(F.filter("s.inside", lambda x: x)).cast("long").alias("inside"))
 
 
 @query
