@@ -178,7 +178,7 @@ def gstin_check(spark, sf):
 @query
 def context_filter(spark, sf):
     ids = fixture(spark, sf, IDS)
-    found = rules.find_rules(ids, "id").join(ids, "id")
+    found = rules.find_rules(ids, "id").join(ids.hint("merge"), "id")  # texts look smaller to Spark than they are: never broadcast
     keep = rules.context_keep(F.col("text"), F.col("label"), F.col("start"), F.col("end"), F.col("value"))
     return found.select("id", "label", F.col("start").cast("long").alias("start"), keep.alias("keep"))
 
