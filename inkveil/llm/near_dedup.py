@@ -36,6 +36,8 @@ WAVES = ((0, 8), (8, BANDS))
 SMALL = 12
 #: Bytes of text of either side of a block.
 BLOCK_BYTES = 1 << 18
+#: Bytes of all blocks that are dealt at once, at least; more where the words' bytes, by four a word, are more.
+SHARE_BYTES = 1 << 28
 #: Numbers by which shingles are ordered by rarity: counts of their hashes' remainders.
 RARITY = 1 << 18
 _OTHER = 0xD6E8FEB86659FD93
@@ -238,7 +240,7 @@ def centred(members: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, block_bytes: int) -> DataFrame:
-    """Members (u, c, k, t) of clusters u as blocks (u, kind, i, j, side, c, k, t) in which each two members of different
+    """Members (u, c, k, t) of clusters u with their blocks o (kind, i, j, side), in which each two members of different
     components meet. The largest component's members meet the others alone, and block_bytes of either side at once."""
     sizes = members.groupBy("u", "k").agg(F.sum(F.octet_length("t") + 64).alias("bytes"))
     sizes = sizes.groupBy("u").agg(F.max(F.struct("bytes", "k")).alias("main"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where("n > 1")
@@ -251,7 +253,16 @@ def _blocks(members: DataFrame, block_bytes: int) -> DataFrame:
     of_main = F.transform(rest, lambda o: block(1, F.col("at"), o, F.lit(0)))
     among = F.transform(rest, lambda o: block(0, F.least("at", o), F.greatest("at", o), F.when(F.col("at") == o, 2).when(F.col("at") < o, 0).otherwise(1)))
     of_rest = F.concat(among, F.transform(main, lambda o: block(1, o, F.col("at"), F.lit(1))))
-    return m.select("u", "c", "k", "t", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("o")).select("u", "o.*", "c", "k", "t")
+    return m.select("u", "c", "k", "t", F.when(F.col("is_main"), of_main).otherwise(of_rest).alias("o"))
+
+
+def _shares(placed: DataFrame, most: int) -> list[DataFrame]:
+    """The blocks (u, kind, i, j, side, c, k, t) of all placed members, each whole in one of as many shares as keep a share's
+    bytes near most: what blocks repeat of their texts grows with the square of a cluster, and must not lie on disk at once."""
+    total = placed.agg(F.sum((F.octet_length("t") + 64) * F.size("o"))).first()[0] or 0
+    n = max(1, -(-total // most))
+    own = lambda i: F.filter("o", lambda b: F.pmod(F.xxhash64("u", b["kind"], b["i"], b["j"]), F.lit(n)) == i)
+    return [placed.select("u", "c", "k", "t", F.explode(own(i)).alias("o")).select("u", "o.*", "c", "k", "t") for i in range(n)]
 
 
 def groups(rows: DataFrame, least: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -303,8 +314,12 @@ def groups(rows: DataFrame, least: float = SIMILARITY, block_bytes: int = BLOCK_
     clusters = components(many.join(many.groupBy("b").agg(F.min("c").alias("y")), "b").where("c <> y").select(F.col("c").alias("x"), "y").distinct())
     members = clusters.select(F.col("comp").alias("u"), F.col("v").alias("c")).join(apart, "c")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
-    met = _blocks(members, block_bytes).repartition(tasks, "u", "kind", "i", "j").groupBy("u", "kind", "i", "j").applyInArrow(_meet(least), "x long, y long, s double")
-    unite(verify(written(pairs, "pairs")).unionByName(written(met, "met")))
+    found = verify(written(pairs, "pairs"))
+    n_words = words.agg(F.sum("n")).first()[0] or 0
+    for share in _shares(written(_blocks(members, block_bytes), "members"), max(SHARE_BYTES, 4 * n_words)):
+        met = share.repartition(tasks, "u", "kind", "i", "j").groupBy("u", "kind", "i", "j").applyInArrow(_meet(least), "x long, y long, s double")
+        found = found.unionByName(written(met, "met"))
+    unite(found)
 
     degree = links.select("x").union(links.select("y")).groupBy("x").agg(F.count("*").alias("n_links")).withColumnRenamed("x", "c")
     label = named(classes.select("p", "q", "c", "id")).join(degree, "c", "left")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import reduce
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.llm import _bytes as B
-from inkveil.llm import chat_format, decontaminate, exact_dedup, lang_id, lattice_lm, near_dedup, packing, queries, token_counts, toxicity, warc
+from inkveil.llm import _shared, chat_format, decontaminate, exact_dedup, lang_id, lattice_lm, near_dedup, packing, queries, token_counts, toxicity, warc
 
 T = queries.TOKENIZERS
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -127,6 +128,22 @@ def test_rows_keep_their_identity(spark):
             spark.conf.set(k, v)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = blocks.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    was, setting = files(), spark.conf.get(_shared._CLEANUP)
+    table = _shared.written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "freed")
+    for _ in range(50):
+        if files() <= was:
+            break
+        time.sleep(0.1)
+    assert files() <= was and table.count() == 1000 and spark.conf.get(_shared._CLEANUP) == setting
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s\\<|x"), (1, 1, "user", None), (1, 2, "assistant", "a<|im_end|>\n<|im_start|>user\nhi"), (1, 3, "user", "u"), (1, 4, "assistant", "\\"), (1, 5, "user", "end\\"), (2, 0, "user", "only"), (3, None, None, None), (None, 0, "assistant", "n"), (4, 0, "as\nsistant", "x"), (4, 0, "as\nsistant", "x")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn int, role string, text string, segments string")
@@ -231,6 +248,24 @@ def test_meet_in_blocks():
     assert out.num_rows <= 29
 
 
+def test_blocks_are_dealt_in_shares_of_bounded_size(spark):
+    """All pairs of different components of a cluster meet, but no share of the blocks holds much more than asked for."""
+    rows = [(u, 1000 * u + i, 1000 * u + i // 3, f"{i:03d}" * 12) for u in (1, 2) for i in range(60)]
+    placed = near_dedup._blocks(spark.createDataFrame(rows, "u long, c long, k long, t string"), 400)
+    whole = placed.select("u", F.explode("o").alias("o"), "c", "k", "t").select("u", "o.*", "c", "k", "t").collect()
+    total, most = sum(len(r.t) + 64 for r in whole), 30_000
+    shares = [s.collect() for s in near_dedup._shares(placed, most)]
+    assert total > 4 * most and max(sum(len(r.t) + 64 for r in s) for s in shares) < 1.5 * most
+    assert sorted(r for s in shares for r in s) == sorted(whole)
+    pairs = set()
+    for s in shares:
+        blocks = defaultdict(list)
+        for r in s:
+            blocks[r.u, r.kind, r.i, r.j].append(r)
+        pairs |= {(a.c, b.c) for m in blocks.values() for a in m for b in m if a.side != 1 and b.side != 0 and a.k != b.k}
+    assert {frozenset(p) for p in pairs} == {frozenset((a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+
+
 def test_meet_finds_all_components():
     """Blocks lose no pair of 0.8 or more, however few registers agree; bags of repeated shingles as well."""
     rng = random.Random(5)
