@@ -241,13 +241,17 @@ def centred(members: DataFrame) -> DataFrame:
 
 def _blocks(members: DataFrame, block_bytes: int) -> DataFrame:
     """Members (u, c, k, t) of clusters u with their blocks o (kind, i, j, side), in which each two members of different
-    components meet. The largest component's members meet the others alone, and block_bytes of either side at once."""
+    components meet. The largest component's members meet the others alone, and block_bytes of either side at once.
+
+    Members are written once, with the numbers of their cluster's parts; the blocks, as many as those, are listed when a
+    row is read: thousands of rows with their lists at once would not fit the memory of a task."""
     sizes = members.groupBy("u", "k").agg(F.sum(F.octet_length("t") + 64).alias("bytes"))
     sizes = sizes.groupBy("u").agg(F.max(F.struct("bytes", "k")).alias("main"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where("n > 1")
     parts = lambda size: F.greatest(F.lit(1), F.ceil(size / block_bytes)).cast("int")
     sizes = sizes.select("u", F.col("main.k").alias("main"), parts(F.col("main.bytes")).alias("n_main"), parts(F.col("bytes") - F.col("main.bytes")).alias("n_rest"))
     m = members.join(sizes, "u").withColumn("is_main", F.col("k") == F.col("main"))
     m = m.withColumn("at", F.pmod(F.xxhash64("c", F.lit(99)), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    m = written(m.select("u", "c", "k", "t", "is_main", "at", "n_main", "n_rest"), "members")
     block = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     rest, main = F.sequence(F.lit(0), F.col("n_rest") - 1), F.sequence(F.lit(0), F.col("n_main") - 1)
     of_main = F.transform(rest, lambda o: block(1, F.col("at"), o, F.lit(0)))
@@ -316,7 +320,7 @@ def groups(rows: DataFrame, least: float = SIMILARITY, block_bytes: int = BLOCK_
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
     found = verify(written(pairs, "pairs"))
     n_words = words.agg(F.sum("n")).first()[0] or 0
-    for share in _shares(written(_blocks(members, block_bytes), "members"), max(SHARE_BYTES, 4 * n_words)):
+    for share in _shares(_blocks(members, block_bytes), max(SHARE_BYTES, 4 * n_words)):
         met = share.repartition(tasks, "u", "kind", "i", "j").groupBy("u", "kind", "i", "j").applyInArrow(_meet(least), "x long, y long, s double")
         found = found.unionByName(written(met, "met"))
     unite(found)

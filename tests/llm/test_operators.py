@@ -266,6 +266,18 @@ def test_blocks_are_dealt_in_shares_of_bounded_size(spark):
     assert {frozenset(p) for p in pairs} == {frozenset((a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
 
 
+def test_lists_of_blocks_are_never_written(spark, monkeypatch):
+    """A row's list of blocks grows with its cluster: thousands of rows with their lists in one batch don't fit a task."""
+    rng, kinds = random.Random(11), {}
+    texts = [" ".join([f"r{i}" for i in range(40)] + [f"v{d}x{rng.randrange(10**6)}" for _ in range(60)]) for d in range(30)]
+    texts += [" ".join(t.split()[:-1] + ["other"]) for t in texts]
+    keep = lambda df, name: kinds.setdefault(name, df.dtypes) and _shared.written(df, name)
+    monkeypatch.setattr(near_dedup, "written", keep)
+    got = near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == {d: d % 30 for d in range(60)}
+    assert not any("array" in kind or "struct" in kind for _, kind in kinds["members"])
+
+
 def test_meet_finds_all_components():
     """Blocks lose no pair of 0.8 or more, however few registers agree; bags of repeated shingles as well."""
     rng = random.Random(5)
