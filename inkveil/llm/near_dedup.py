@@ -38,8 +38,12 @@ SMALL = 12
 BLOCK_BYTES = 1 << 18
 #: Bytes of all blocks that are dealt at once, at least; more where the words' bytes, by four a word, are more.
 SHARE_BYTES = 1 << 28
-#: Numbers by which shingles are ordered by rarity: counts of their hashes' remainders.
-RARITY = 1 << 18
+#: Shingles are ordered by rarity: by counts of their hashes' remainders, at least and at most so many, by one for each
+#: RARITY_BYTES of text between. Where many rare shingles share a count, texts meet that share nothing rare. Counts are summed
+#: in segments of SEGMENT.
+RARITY = (1 << 18, 1 << 24)
+RARITY_BYTES = 16
+SEGMENT = 1 << 16
 _OTHER = 0xD6E8FEB86659FD93
 
 
@@ -183,13 +187,40 @@ def _meet(least: float):
     return run
 
 
-def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(RARITY, np.int64)
-    for batch in batches:
-        for part in B.slices(batch, "t"):
-            total += np.bincount((shingles(part.column("t"))[1] % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
+def _rarity(slots: int):
+    """(g, i, n): of each slice of texts the counts n of its shingles' remainders, by segment g and place i there, in bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in B.slices(batch, "t"):
+                at, n = np.unique(shingles(part.column("t"))[1] & np.uint64(slots - 1), return_counts=True)
+                at, n = at.astype(np.int64), np.minimum(n, 255).astype(np.uint8)
+                cuts = np.searchsorted(at, np.arange(0, slots + 1, SEGMENT))
+                held = np.flatnonzero(np.diff(cuts))
+                i, n = ([x[cuts[g] : cuts[g + 1]].tobytes() for g in held] for x in ((at % SEGMENT).astype("<u2"), n))
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(i, pa.binary()), pa.array(n, pa.binary())], names=["g", "i", "n"])
+
+    return run
+
+
+def _ranks(table: pa.Table) -> pa.Table:
+    """Of one segment: a rank for each place, its count up to 127, and eight ranks a power of two beyond. The order alone
+    matters, and only that all texts share it."""
+    total = np.zeros(SEGMENT, np.int64)
+    for i, n in zip(table.column("i").to_pylist(), table.column("n").to_pylist(), strict=True):
+        total[np.frombuffer(i, "<u2")] += np.frombuffer(n, np.uint8)
+    rank = np.where(total < 128, total, np.minimum(255, 128 + 8 * (np.log2(np.maximum(total, 1)) - 7))).astype(np.uint8)
+    return pa.table({"g": table.column("g")[:1], "r": pa.array([rank.tobytes()], pa.binary())})
+
+
+def _ranked(texts: DataFrame) -> np.ndarray:
+    """A rank for each remainder of the hashes of all shingles of texts (t)."""
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    slots = min(max(RARITY[0], 1 << (size // RARITY_BYTES).bit_length()), RARITY[1])
+    ranks = np.zeros(slots, np.uint8)
+    for g, r in written(texts.select("t").mapInArrow(_rarity(slots), "g int, i binary, n binary").groupBy("g").applyInArrow(_ranks, "g int, r binary"), "ranks").collect():
+        ranks[g * SEGMENT : (g + 1) * SEGMENT] = np.frombuffer(r, np.uint8)
+    return ranks
 
 
 def _prefixes(shared, least: float):
@@ -202,7 +233,7 @@ def _prefixes(shared, least: float):
         for batch in batches:
             for part in B.slices(batch, "t"):
                 doc, w, count, _, n = shingles(part.column("t"))
-                order = np.lexsort((w, shared.value[(w % np.uint64(RARITY)).astype(np.int64)], doc))
+                order = np.lexsort((w, shared.value[(w & np.uint64(len(shared.value) - 1)).astype(np.int64)], doc))
                 doc, w, count = doc[order], w[order], count[order].astype(float)
                 share = count / np.bincount(doc, count, len(n))[doc]
                 before = np.cumsum(share) - share
@@ -307,10 +338,7 @@ def groups(rows: DataFrame, least: float = SIMILARITY, block_bytes: int = BLOCK_
     held = named(buckets)
     apart = written(held.join(several(held).select("b"), "b").select("c", "k").distinct(), "apart")
     apart = written(apart.join(texts, "c"), "apart")
-    counts = apart.select("t").mapInArrow(_rarity, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    rarity = np.zeros(RARITY, np.int64)
-    rarity[counts["i"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    rare = written(apart.mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(rarity), least), "b long, c long, k long"), "rare")
+    rare = written(apart.mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(_ranked(apart)), least), "b long, c long, k long"), "rare")
     rare = written(rare.join(several(rare), "b"), "shared")
     few = rare.where(F.col("n") <= SMALL)
     pairs = few.select("b", F.col("c").alias("x"), "k").join(few.select("b", F.col("c").alias("y"), F.col("k").alias("ky")), "b").where("k < ky").select("x", "y").distinct()

@@ -278,6 +278,21 @@ def test_lists_of_blocks_are_never_written(spark, monkeypatch):
     assert not any("array" in kind or "struct" in kind for _, kind in kinds["members"])
 
 
+def test_ranks_are_counts_and_tell_shingles_of_many_texts_apart(spark):
+    """A million shingles that occur once each don't hide those that occur thirty times."""
+    rng = random.Random(8)
+    common = "one two three four five six seven eight nine"
+    texts = [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(10_000)) for _ in range(100)] + [common] * 30 + [None, ""]
+    ranks = near_dedup._ranked(spark.createDataFrame([(t or "",) for t in texts], "t string"))
+    at = (near_dedup.shingles(pa.array(texts))[1] & np.uint64(len(ranks) - 1)).astype(np.int64)
+    assert ranks.tolist() == np.bincount(at, minlength=len(ranks)).tolist()
+    seen = (near_dedup.shingles(pa.array([common]))[1] & np.uint64(len(ranks) - 1)).astype(np.int64)
+    assert ranks[seen].min() >= 30 and np.quantile(ranks[at[: -30 * len(seen)]], 0.99) <= 6
+    many = near_dedup._ranks(pa.table({"g": [0] * 900, "i": [np.array([1, 2], "<u2").tobytes()] * 900, "n": [bytes([1, 255])] * 900}))
+    rank = np.frombuffer(many["r"][0].as_py(), np.uint8)
+    assert rank[0] == 0 < 127 < rank[1] < rank[2] <= 255
+
+
 def test_meet_finds_all_components():
     """Blocks lose no pair of 0.8 or more, however few registers agree; bags of repeated shingles as well."""
     rng = random.Random(5)
